@@ -130,6 +130,7 @@ class EndModel:
     ends: dict[tuple, int] = field(default_factory=dict)
     after: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[tuple, int] = field(default_factory=dict)
+    endings: set[str] = field(default_factory=set)
 
     def kind(self, word: str) -> str:
         if word.isdigit():
@@ -176,6 +177,9 @@ class EndModel:
                 pairs[kinds[i - 1], tokens[i - 1]] += 1
                 if end:
                     ends[c] += 1
+        long = {w for t, whole in parsed for w in (t if whole else t[:-1]) if len(w) >= 7 and w.isalpha()}
+        tails = Counter(w[-3:] for w in long)
+        self.endings = {t for t, n in tails.items() if n >= max(4, 0.01 * len(long))}
         self.pairs = {c: n for c, n in pairs.items() if n > 1}
         for before, word in sorted(self.pairs):
             self.after.setdefault(before, []).append(word)
@@ -197,6 +201,10 @@ class EndModel:
             count += self.pairs[before, known[k]]
         return count >= LEAST_SEEN // 2
 
+    def ends_like_word(self, word: str) -> bool:
+        """Whether an unseen long word ends the way many whole words do."""
+        return len(word) >= 7 and word[-3:] in self.endings
+
     def end_share(self, tokens: list[str]) -> float:
         """Share of the longest trusted context's occurrences that end a sentence; 0 for a word that never does."""
         if self.stub(tokens):
@@ -232,10 +240,11 @@ def word_shape(core: str) -> tuple[list[str], list[str], bool]:
 
 
 def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
-    """(state, last word, end share): state is cut, open, whole or words (depends on whether the last word is whole).
+    """(state, last word, end share): state is cut, open, whole, words or named.
 
-    cut: a mark of the cut or a hanging separator; open: an unfinished structure; words: judged by last word and
-    end share, see ``is_cut``.
+    cut: a mark of the cut or a hanging separator; open: an unfinished structure; words: cut if the corpus has the
+    last word nowhere finished, or by the end share; named: the last word ends like whole words do, so the end
+    share alone decides.
     """
     had_mark = bool(CUT_MARK.search(text)) and not re.search(r"[.!?。！？]\s*(?:…|\.{2,})\s*$", text)
     core = NEUTRAL.sub("", text)
@@ -254,12 +263,13 @@ def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
         return "cut", words[-1], 0.0
     if structure in ("bracket", "tag"):
         return "open", words[-1], 0.0
+    named = "named" if model.ends_like_word(words[-1]) else "words"
     if bare:
-        return "words", words[-1], 1.0
+        return named, words[-1], 1.0
     share = model.end_share(tokens)
     if structure == "quote" and not share > END_SHARE:
         return "open", words[-1], 0.0
-    return "words", words[-1], 1.0 if math.isnan(share) else share
+    return named, words[-1], 1.0 if math.isnan(share) else share
 
 
 def finished_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
