@@ -243,8 +243,8 @@ def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
     """(state, last word, end share): state is cut, open, whole, words or named.
 
     cut: a mark of the cut or a hanging separator; open: an unfinished structure; words: cut if the corpus has the
-    last word nowhere finished, or by the end share; named: the last word ends like whole words do, so the end
-    share alone decides.
+    last word nowhere finished, or by the end share; named: the last word ends like whole words do, or is a
+    CJK character, so the end share alone decides.
     """
     had_mark = bool(CUT_MARK.search(text)) and not re.search(r"[.!?。！？]\s*(?:…|\.{2,})\s*$", text)
     core = NEUTRAL.sub("", text)
@@ -263,7 +263,7 @@ def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
         return "cut", words[-1], 0.0
     if structure in ("bracket", "tag"):
         return "open", words[-1], 0.0
-    named = "named" if model.ends_like_word(words[-1]) else "words"
+    named = "named" if words[-1] > "⺀" or model.ends_like_word(words[-1]) else "words"
     if bare:
         return named, words[-1], 1.0
     share = model.end_share(tokens)
