@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph, records, routing, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **graph.QUERIES, **routing.QUERIES, **records.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **graph.ORACLE_SQL, **routing.ORACLE_SQL, **records.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Chunks, TF-IDF index, top hits of the held-out items and how much of each they cover, per kind."""
+    return text.evidence_coverage(spark, sf_dir)
