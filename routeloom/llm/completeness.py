@@ -43,9 +43,20 @@ _STOP = r"[.!?。！？؟][\"”’»)\]}*_\s]*$"
 NEUTRAL, CUT_MARK, STOP = re.compile(_NEUTRAL), re.compile(_CUT_MARK.replace("\\\\\\\\", "\\\\")), re.compile(_STOP)
 
 
+#: Characters at the end of a text in which marks are looked for; the rest of the text is left as it is.
+END_WINDOW = 120
+
+
+def at_end(column: Column, pattern: str) -> Column:
+    """The text without what the pattern (anchored at the end) matches, searched in its last characters only."""
+    short = F.length(column) <= END_WINDOW
+    tail = F.regexp_replace(F.right(column, F.lit(END_WINDOW)), pattern, "")
+    return F.when(short, F.regexp_replace(column, pattern, "")).otherwise(F.concat(F.left(column, F.length(column) - END_WINDOW), tail))
+
+
 def without_notes(column: Column) -> Column:
     """The text without neutral marks at its end (JVM form of NEUTRAL)."""
-    return F.regexp_replace(column, _NEUTRAL, "")
+    return at_end(column, _NEUTRAL)
 
 
 def surely_whole(column: Column) -> Column:
@@ -54,10 +65,11 @@ def surely_whole(column: Column) -> Column:
     Runs in the JVM so that only the rest goes to Python. Texts that open with a brace or bracket are whole
     only when they parse as JSON.
     """
-    bare = F.trim(column)
-    structured = bare.rlike(r"^[\[{]\s*[\[{\"]")
-    valid = F.try_parse_json(bare).isNotNull()
-    marked = without_notes(column).rlike(r"[.!?。！？]$") & ~without_notes(column).rlike(r"\.{2,}$")
+    structured = F.ltrim(column).rlike(r"^[\[{]\s*[\[{\"]")
+    valid = F.try_parse_json(F.trim(column)).isNotNull()
+    tail = F.regexp_replace(F.right(column, F.lit(END_WINDOW)), _NEUTRAL, "")
+    end = F.right(tail, F.lit(2))
+    marked = F.right(end, F.lit(1)).isin(*".!?。！？") & (end != "..")
     return F.when(structured, valid).otherwise(marked)
 
 
