@@ -43,32 +43,26 @@ _STOP = r"[.!?。！？؟][\"”’»)\]}*_\s]*$"
 NEUTRAL, CUT_MARK, STOP = re.compile(_NEUTRAL), re.compile(_CUT_MARK.replace("\\\\\\\\", "\\\\")), re.compile(_STOP)
 
 
-#: Characters at the end of a text in which marks are looked for; the rest of the text is left as it is.
-END_WINDOW = 120
+#: Single characters that say nothing about where a text stops.
+_QUIET = " \t\r\n✓✔*_`\"”’»"
+#: What a prefix is compared without: quiet characters, marks of a cut and sentence marks.
+_TRAIL = _QUIET + "…�."
 
 
-def at_end(column: Column, pattern: str) -> Column:
-    """The text without what the pattern (anchored at the end) matches, searched in its last characters only."""
-    short = F.length(column) <= END_WINDOW
-    tail = F.regexp_replace(F.right(column, F.lit(END_WINDOW)), pattern, "")
-    return F.when(short, F.regexp_replace(column, pattern, "")).otherwise(F.concat(F.left(column, F.length(column) - END_WINDOW), tail))
-
-
-def without_notes(column: Column) -> Column:
-    """The text without neutral marks at its end (JVM form of NEUTRAL)."""
-    return at_end(column, _NEUTRAL)
+def without_trail(column: Column) -> Column:
+    """The text without quiet characters, cut marks and full stops at its end."""
+    return F.rtrim(column, F.lit(_TRAIL))
 
 
 def surely_whole(column: Column) -> Column:
-    """True for texts that end with a sentence mark after neutral marks are removed, outside any structure.
+    """True for texts that end with a sentence mark before quiet characters, outside any structure.
 
-    Runs in the JVM so that only the rest goes to Python. Texts that open with a brace or bracket are whole
-    only when they parse as JSON.
+    Runs in the JVM by trims alone, so that only the rest goes to Python; a note after the mark is left to that
+    too. Texts that open with a brace or bracket are whole only when they parse as JSON.
     """
-    structured = F.ltrim(column).rlike(r"^[\[{]\s*[\[{\"]")
+    structured = F.left(F.ltrim(column), F.lit(1)).isin("{", "[")
     valid = F.try_parse_json(F.trim(column)).isNotNull()
-    tail = F.regexp_replace(F.right(column, F.lit(END_WINDOW)), _NEUTRAL, "")
-    end = F.right(tail, F.lit(2))
+    end = F.right(F.rtrim(column, F.lit(_QUIET)), F.lit(2))
     marked = F.right(end, F.lit(1)).isin(*".!?。！？") & (end != "..")
     return F.when(structured, valid).otherwise(marked)
 
