@@ -5,10 +5,12 @@
    replaced by the frequent word they misspell (a join of deletion variants
    over the vocabulary). Questions with equal sets form one class.
 2. Classes are joined between splits over inverted lists. Terms weigh by
-   rarity; with terms in descending weight a class lists only as many as leave
-   a residual norm below the threshold, so every pair at or above it meets in
-   a list. Partial sums plus the smaller residual prune candidates before the
-   exact dot product.
+   rarity and stand in descending weight. A pair at the threshold t that shares
+   its first two terms at places i and j of a class leaves the mass of the
+   other terms before j unshared; by Cauchy and Schwarz that mass is at most
+   1 - t^2. A class is listed under just those pairs of terms, and under a
+   single term only where its weight alone reaches t, so no pair is lost and
+   none meets on frequent terms alone. Exact dot products follow.
 3. An exact check compares what two classes don't share: a pair holds when all
    of it pairs up as misspellings or asks nothing.
 """
@@ -146,7 +148,7 @@ def question_classes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
         .drop("question")
         .where(F.size("raw") > 0)
     )
-    forms = base.withColumn("form", F.xxhash64(F.array_join("raw", " ")))
+    forms = cut_lineage(base.withColumn("form", F.xxhash64(F.array_join("raw", " "))))
     distinct = forms.groupBy("form").agg(F.first("raw").alias("raw"), F.count("*").alias("rows"))
     tokens = distinct.select("form", F.explode("raw").alias("term"))
     vocabulary = tokens.groupBy("term").agg(F.count("*").alias("n"))
@@ -173,7 +175,7 @@ def question_classes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def weighted_vectors(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, train, eval, terms, prefix, residual): unit vectors in descending weight and the terms to list."""
+    """(class_id, train, eval, v, keys): unit vectors in descending weight, and the keys of the lists they stand in."""
     total = classes.agg(F.count("*").cast("double").alias("total"))
     tokens = classes.select("class_id", F.explode("terms").alias("term"))
     df = tokens.groupBy("term").agg(F.count("*").alias("n"))
@@ -187,19 +189,31 @@ def weighted_vectors(classes: DataFrame, threshold: float) -> DataFrame:
     )
     unit = F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"), x["n"].alias("n")))
     vectors = vectors.select("class_id", unit.alias("v"))
-    # Listed terms: the shortest prefix that leaves a residual below the threshold.
-    state = F.aggregate(
-        "v",
-        F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("listed")),
-        lambda acc, x: F.when(acc["rest"] < threshold * threshold, acc).otherwise(
-            F.struct((acc["rest"] - x["w"] * x["w"]).alias("rest"), (acc["listed"] + 1).alias("listed"))
-        ),
-    )
-    vectors = vectors.withColumn("state", state)
-    vectors = vectors.select("class_id", "v", F.slice("v", 1, F.greatest(F.col("state.listed"), F.lit(1))).alias("prefix"), F.sqrt(F.greatest(F.col("state.rest"), F.lit(0.0))).alias("residual"))
+    keys = F.pandas_udf(lambda terms, w: pd.Series([list_keys(t, x, threshold) for t, x in zip(terms, w)]), T.ArrayType(T.StringType()))
+    vectors = vectors.withColumn("keys", keys(F.transform("v", lambda x: x["term"]), F.transform("v", lambda x: x["w"])))
     return vectors.join(classes.select("class_id", "train", "eval"), "class_id")
 
 
+def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[str]:
+    """Keys of the lists of a unit vector in descending weight: pairs of terms that can be a match's first two, and
+    single terms that alone can reach the threshold."""
+    slack = 1.0 - threshold * threshold + 1e-9
+    mass = [float(w) * float(w) for w in weights]
+    keys = [terms[i] for i in range(len(terms)) if mass[i] >= threshold * threshold - 1e-9]
+    before = 0.0  # mass before place i
+    for i in range(len(terms)):
+        if before > slack:
+            break
+        skipped = before
+        for j in range(i + 1, len(terms)):
+            if skipped > slack:
+                break
+            keys.append(terms[i] + " " + terms[j])
+            skipped += mass[j]
+        before += mass[i]
+    return keys
+
+
 def same_question(a: list, b: list) -> bool:
     """Exact check of two vectors' terms: what they don't share must pair up as misspellings."""
     x = {t["term"]: int(t["n"]) for t in a}
@@ -219,17 +233,9 @@ def same_question(a: list, b: list) -> bool:
 
 def similar_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     """(train_class, eval_class, cosine) of different classes between splits at or above the threshold, checked."""
-    listed = vectors.select("class_id", "train", "eval", "residual", F.explode("prefix").alias("p"))
-    cols = lambda side, name: listed.where(F.col(side) == 1).select(
-        F.col("p.term").alias("term"), F.col("class_id").alias(name), F.col("p.w").alias(f"{name}_w"), F.col("residual").alias(f"{name}_rest")
-    )
-    met = cols("train", "x").join(cols("eval", "y"), "term").where(F.col("x") != F.col("y"))
-    candidates = (
-        met.groupBy("x", "y")
-        .agg(F.sum(F.col("x_w") * F.col("y_w")).alias("part"), F.first(F.least("x_rest", "y_rest")).alias("rest"))
-        .where(F.col("part") + F.col("rest") >= threshold - 1e-9)
-        .select("x", "y")
-    )
+    listed = vectors.select("class_id", "train", "eval", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
+    cols = lambda side, name: listed.where(F.col(side) == 1).select("key", F.col("class_id").alias(name))
+    candidates = cols("train", "x").join(cols("eval", "y"), "key").where(F.col("x") != F.col("y")).select("x", "y").distinct()
     full = vectors.select("class_id", "v")
     pairs = candidates.join(full.select(F.col("class_id").alias("x"), F.col("v").alias("vx")), "x").join(
         full.select(F.col("class_id").alias("y"), F.col("v").alias("vy")), "y"
