@@ -241,7 +241,8 @@ def word_shape(core: str) -> tuple[list[str], list[str], bool]:
     pieces = sentences_of(core)
     tokens = tokens_of(pieces[-1]) if pieces else []
     words = [t for t in tokens if t not in ",;:，；：、"]
-    bare = len(pieces) == 1 and all(len(tokens_of(x)) <= 3 for x in re.split(r"[,;，；、\n]", core))
+    listed = len(pieces) > 1 and all(re.match(r"\s*(?:[-*•+]|\d{1,3}[.)])\s", x) and len(tokens_of(x)) <= 4 for x in pieces)
+    bare = listed or len(pieces) == 1 and all(len(tokens_of(x)) <= 3 for x in re.split(r"[,;，；、\n]", core))
     return tokens, words, bare
 
 

@@ -135,7 +135,7 @@ def _units(blobs: pd.Series, dimensions: int) -> np.ndarray:
 
 
 def usable_vectors(vectors: DataFrame, dimensions: int) -> DataFrame:
-    """(id, raw, spot): one usable vector per id as bytes and the hash of its rounded direction."""
+    """(id, raw, spot): one usable vector per id as bytes, and their hash."""
     have = {c.lower() for c in vectors.columns}
     stamp = F.col("cached_at") if "cached_at" in have else F.lit(0)
     good = (F.size("embedding") == dimensions) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -150,17 +150,12 @@ def usable_vectors(vectors: DataFrame, dimensions: int) -> DataFrame:
     def to_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
-                yield pd.DataFrame({"id": [], "raw": [], "direction": []})
+                yield pd.DataFrame({"id": [], "raw": []})
                 continue
-            raw = np.stack([np.asarray(v, dtype="<f4") for v in pdf["embedding"]])
-            unit = raw.astype(np.float64)
-            unit /= np.abs(unit).max(axis=1, keepdims=True)  # no overflow in the norm
-            raw = unit.astype("<f4")
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            direction = (np.round(unit, 6) + 0.0).astype("<f4")
-            yield pd.DataFrame({"id": pdf["id"], "raw": [r.tobytes() for r in raw], "direction": [r.tobytes() for r in direction]})
+            raw = np.stack([np.asarray(v, dtype="<f4") for v in pdf["embedding"]]) + np.float32(0)  # one zero, not two
+            yield pd.DataFrame({"id": pdf["id"], "raw": [r.tobytes() for r in raw]})
 
-    return picked.mapInPandas(to_bytes, "id string, raw binary, direction binary").select("id", "raw", F.xxhash64("direction").alias("spot"))
+    return picked.mapInPandas(to_bytes, "id string, raw binary").select("id", "raw", F.xxhash64("raw").alias("spot"))
 
 
 def nearest_neighbours(
@@ -178,7 +173,7 @@ def nearest_neighbours(
     greatest at ties). Null vectors, wrong lengths, vectors with null or non-finite elements and all-zero vectors
     take no part, nor do null ids. With fewer than k other ids all are returned; an empty table gives no rows.
 
-    Equal directions are searched once: of a group only its k + 1 smallest ids can be neighbours, found in two
+    Equal vectors are searched once: of a group only its k + 1 smallest ids can be neighbours, found in two
     salted steps, so a group of any size costs one vector. Cells too large for a task are cut into blocks of
     vectors and of queries. Nothing unbounded reaches the driver: it holds the fit sample, the cell centres (at
     most ``MOST_CELLS``) and the codebook.
@@ -267,7 +262,7 @@ def nearest_neighbours(
         return pd.DataFrame({c: np.concatenate([x[j] for x in out]) for j, c in enumerate(columns)})
 
     scored = held.groupBy("cell", "d", "q").cogroup(asked.groupBy("qcell", "qd", "qq")).applyInPandas(scan, "spot long, other long, similarity double")
-    # The k + 1 nearest directions hold the k nearest other ids: every direction has at least one id.
+    # The k + 1 nearest vectors hold the k nearest other ids: every vector has at least one id.
     best = Window.partitionBy("spot").orderBy(F.desc("similarity"), "other")
     closest = (
         scored.withColumn("place", F.row_number().over(best))

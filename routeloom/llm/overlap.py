@@ -29,7 +29,8 @@ from ..session import cut_lineage
 from .labels import split_name
 from .textforms import fold, words
 
-THRESHOLD = 0.8
+#: Least weighted cosine of a pair that is looked at; what holds is decided by the exact check.
+THRESHOLD = 0.85
 
 # Words under one name.
 SYNONYMS = {
@@ -190,7 +191,7 @@ def weighted_vectors(classes: DataFrame, threshold: float) -> DataFrame:
     unit = F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"), x["n"].alias("n")))
     vectors = vectors.select("class_id", unit.alias("v"))
     keys = F.pandas_udf(lambda terms, w: pd.Series([list_keys(t, x, threshold) for t, x in zip(terms, w)]), T.ArrayType(T.StringType()))
-    vectors = vectors.withColumn("keys", keys(F.transform("v", lambda x: x["term"]), F.transform("v", lambda x: x["w"])))
+    vectors = vectors.withColumn("keys", keys(F.col("v.term"), F.col("v.w")))
     return vectors.join(classes.select("class_id", "train", "eval"), "class_id")
 
 
@@ -214,17 +215,15 @@ def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[
     return keys
 
 
-def same_question(a: list, b: list) -> bool:
-    """Exact check of two vectors' terms: what they don't share must pair up as misspellings."""
-    x = {t["term"]: int(t["n"]) for t in a}
-    y = {t["term"]: int(t["n"]) for t in b}
-    only_x, only_y = [t for t in x if t not in y], [t for t in y if t not in x]
-    if len(only_x) != len(only_y) or len(only_x) > 3:
+def same_question(a: dict[str, int], b: dict[str, int]) -> bool:
+    """Exact check of two classes' terms with their frequencies: what they don't share must pair up as misspellings."""
+    only_a, only_b = [t for t in a if t not in b], [t for t in b if t not in a]
+    if len(only_a) != len(only_b) or len(only_a) > 3:
         return False
-    for t in only_x:
-        for k, u in enumerate(only_y):
-            if _misspells(t, x[t], u, y[u]) or _misspells(u, y[u], t, x[t]):
-                del only_y[k]
+    for t in only_a:
+        for k, u in enumerate(only_b):
+            if _misspells(t, a[t], u, b[u]) or _misspells(u, b[u], t, a[t]):
+                del only_b[k]
                 break
         else:
             return False
@@ -236,18 +235,17 @@ def similar_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     listed = vectors.select("class_id", "train", "eval", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
     cols = lambda side, name: listed.where(F.col(side) == 1).select("key", F.col("class_id").alias(name))
     candidates = cols("train", "x").join(cols("eval", "y"), "key").where(F.col("x") != F.col("y")).select("x", "y").distinct()
-    full = vectors.select("class_id", "v")
-    pairs = candidates.join(full.select(F.col("class_id").alias("x"), F.col("v").alias("vx")), "x").join(
-        full.select(F.col("class_id").alias("y"), F.col("v").alias("vy")), "y"
-    )
+    full = vectors.select("class_id", *[F.col(f"v.{f}").alias(f) for f in ("term", "w", "n")])
+    side = lambda c: full.select(F.col("class_id").alias(c), *[F.col(f).alias(f + c) for f in ("term", "w", "n")])
+    pairs = candidates.join(side("x"), "x").join(side("y"), "y")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for x, y, vx, vy in zip(pdf["x"], pdf["y"], pdf["vx"], pdf["vy"]):
-                wy = {t["term"]: t["w"] for t in vy}
-                cosine = sum(t["w"] * wy.get(t["term"], 0.0) for t in vx)
-                if cosine >= threshold - 1e-9 and same_question(vx, vy):
+            for x, y, tx, wx, nx, ty, wy, ny in pdf[["x", "y", "termx", "wx", "nx", "termy", "wy", "ny"]].itertuples(index=False, name=None):
+                other = dict(zip(ty, wy))
+                cosine = sum(w * other[t] for t, w in zip(tx, wx) if t in other)
+                if cosine >= threshold - 1e-9 and same_question(dict(zip(tx, nx)), dict(zip(ty, ny))):
                     rows.append((x, y, cosine))
             yield pd.DataFrame(rows, columns=["train_class", "eval_class", "cosine"])
 

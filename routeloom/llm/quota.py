@@ -44,7 +44,7 @@ def allocate(cells: list[dict]) -> dict[tuple[str, str], int]:
     unmet: dict[str, int] = {}
     for c in sorted(cells, key=lambda c: (c["question_type"], c["split"])):
         key = (c["question_type"], c["split"])
-        missing = c["needed"] - draw[key]
+        missing = max(0, c["needed"] - c["supply"])
         for other in sorted((k for k in spare if k[0] == key[0] and k != key), key=lambda k: (-spare[k], k)):
             take = min(missing, spare[other])
             draw[other] += take
