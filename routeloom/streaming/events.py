@@ -41,9 +41,10 @@ def unique_runs(rows: DataFrame, key: str, stamp: str = "ts") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark([key])
 
 
-def ordered_stages(events: DataFrame, quiet_ms: int = 15_000) -> DataFrame:
+def ordered_stages(events: DataFrame, quiet_ms: int | None = 15_000) -> DataFrame:
     """(run_id, seq, type, payload): each run's stages in order, ended by its result or error; heartbeats on silence.
 
+    Heartbeats need a stream that keeps running; None turns them off, as a run over what is there must.
     A stage that arrives early waits in the run's state; what comes after the end is dropped. The state of a run is
     at most one event per stage.
     """
@@ -73,11 +74,13 @@ def ordered_stages(events: DataFrame, quiet_ms: int = 15_000) -> DataFrame:
             seq += 1
             next_stage = 3 if ready[0] in ("result", "error") else next_stage + 1
         state.update((next_stage, seq, "\x1e".join(f"{k}\x1f{v}" for k, v in held.items()) if next_stage <= 2 else ""))
-        state.setTimeoutDuration(quiet_ms)
+        if quiet_ms is not None and next_stage <= 2:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(out, columns=["run_id", "seq", "type", "payload"])
 
     return events.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, seq int, type string, payload string", "next int, seq int, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "run_id string, seq int, type string, payload string", "next int, seq int, waiting string", "append",
+        GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

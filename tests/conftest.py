@@ -12,7 +12,7 @@ DATA = Path("/root/testdata/sf0.001")
 def spark():
     from routeloom.session import build_session
 
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__driver__memory="3g", spark__driver__bindAddress="127.0.0.1")
+    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false", spark__driver__memory="3g", spark__driver__host="127.0.0.1", spark__driver__bindAddress="127.0.0.1")
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
