@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 # Words that carry no content in evidence and answers.
 STOPWORDS = (
-    "a an and are as at be been being but by can could did do does for from had has have how in into is it its may "
-    "might of on or should than that the their them then there these they this those to was were what when where which"
+    "the a an and or of to in on for with is are was were be been being what which why "
+    "how when where who whom whose does do did has have had from at by as that this these "
+    "those it its patient patients"
 ).split()
 CLAUSE_PATTERN = r"\b(?:and|with|while|versus|compared to|because|if)\b|[,;?]"
 
@@ -109,16 +110,16 @@ def capped(text: Column, most: int = 100_000) -> Column:
     return F.struct(F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("truncated"))
 
 
-def error_code(message: Column) -> Column:
-    """Stable code of an error message by its kind."""
-    low = F.lower(message)
-    return (
-        F.when(low.contains("timeout") | low.contains("timed out"), F.lit("TIMEOUT"))
-        .when(low.contains("authentication") | low.contains("permission"), F.lit("AUTH_FAILED"))
-        .when(low.contains("ratelimit") | low.contains("rate limit"), F.lit("RATE_LIMITED"))
-        .when(low.contains("connection"), F.lit("CONNECTION_FAILED"))
-        .otherwise(F.lit("INTERNAL"))
-    )
+# Stable codes by what an error's name holds; the first that fits counts.
+ERROR_CODES = (("timeout", "LLM_TIMEOUT"), ("authentication", "LLM_AUTH_FAILED"), ("permission", "LLM_AUTH_FAILED"), ("ratelimit", "LLM_RATE_LIMITED"))
+
+
+def error_code(name: Column) -> Column:
+    """Stable code of an error by its name; QUERY_FAILED for any other."""
+    code = F.lit("QUERY_FAILED")
+    for part, value in reversed(ERROR_CODES):
+        code = F.when(F.lower(name).contains(part), value).otherwise(code)
+    return code
 
 
 def plain_url(url: Column) -> Column:

@@ -100,6 +100,6 @@ def test_scores(spark):
 def test_urls_and_errors(spark):
     for url, good in (("https://host/v1", True), ("http://u:p@host/", False), ("https://host/x?y=1", False), ("ftp://host", False)):
         assert one(spark, X.plain_url(F.col("u")), u=url) is good
-    assert one(spark, X.error_code(F.col("m")), m="Request timed out") == "TIMEOUT"
-    assert one(spark, X.error_code(F.col("m")), m="weird") == "INTERNAL"
+    assert one(spark, X.error_code(F.col("m")), m="ReadTimeoutError") == "LLM_TIMEOUT"
+    assert one(spark, X.error_code(F.col("m")), m="weird") == "QUERY_FAILED"
     assert one(spark, X.capped(F.col("t"), 3), t="abcdef").asDict() == {"text": "abc", "truncated": True}
