@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Texts from which the sentence-end model is fitted (chosen by hash of the text).
 FIT_TEXTS = 12_000
+#: Characters of those texts, in the mean; fewer texts are drawn where they are long.
+FIT_CHARACTERS = 20_000_000
 #: A class of context must have been seen so often to be trusted.
 LEAST_SEEN = 10
 #: Contexts that end a sentence less often than this are inside one.
@@ -229,8 +231,8 @@ def fit_end_model(texts: DataFrame, fit_texts: int = FIT_TEXTS) -> EndModel:
 
     The sample is by hash of the text: stable under layout and copies. It is the only text fetched.
     """
-    rows = texts.agg(F.count("*")).first()[0]
-    share = min(1.0, fit_texts / rows) if rows else 1.0
+    rows, characters = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
+    share = min(1.0, fit_texts / rows, FIT_CHARACTERS / max(characters or 0, 1)) if rows else 1.0
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = texts.where(unit < share).select("text").distinct()
     return EndModel().fit(r["text"] for r in sample.toLocalIterator())
