@@ -1,4 +1,4 @@
-"""Exact scoring of vectors against a query set, and a k-nearest graph over cells."""
+"""Exact scoring of vectors against a query set, and the exact k-nearest graph."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries in one broadcast block.
 QUERY_BLOCK = 8_192
-FIT_ROWS, CELL_ROWS, PROBES, MOST_CELLS = 20_000, 2_048, 8, 2_048
+#: Vectors in one broadcast section of the graph, in one of its tasks, and in a tile of the dense product.
+SECTION_ROWS, TASK_ROWS, TILE_ROWS, TILE_COLUMNS = 131_072, 2_048, 512, 8_192
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", floor: float = -2.0) -> DataFrame:
@@ -56,55 +57,73 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_graph(vectors: DataFrame, k: int = 8, floor: float = 0.05, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL_ROWS, probes: int = PROBES) -> DataFrame:
-    """(src, dst, sim): each vector's k most similar others above the floor.
+def best_pairs(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of each query's k best of ``data`` above the floor; ``ids`` is ascending.
 
-    Vectors meet in the cells nearest to them, each scored exactly. Up to ``probes`` cells every pair meets and the
-    graph is exact; beyond, a vector is compared with the cells it visits. Cells are fitted on a bounded sample.
+    Tiles of the dense product are cut at the k-th score seen so far, less what rounding to six digits can lift.
+    """
+    at, dst, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    least = np.full(len(qids), floor)
+    odd = not (np.isfinite(q).all() and np.isfinite(data).all())
+    for lo in range(0, len(ids), TILE_COLUMNS):
+        own = ids[lo : lo + TILE_COLUMNS]
+        sims = q @ data[lo : lo + TILE_COLUMNS].T
+        if odd:
+            sims[np.isnan(sims)] = -np.inf
+        first, last = np.searchsorted(own, qids, "left"), np.searchsorted(own, qids, "right")
+        for step in range(int((last - first).max(initial=0))):  # a query never finds its own id
+            rows = np.flatnonzero(first + step < last)
+            sims[rows, first[rows] + step] = -np.inf
+        if lo == 0 and len(own) > k:
+            least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+        r, c = np.nonzero(sims >= (least - 2e-6)[:, None])
+        at, dst, sim = np.concatenate([at, r]), np.concatenate([dst, own[c]]), np.concatenate([sim, np.round(sims[r, c], 6)])
+        order = np.lexsort((dst, -sim, at))
+        order = order[sim[order] > floor]
+        place = np.arange(len(order)) - np.searchsorted(at[order], at[order], "left")
+        order = order[place < k]
+        at, dst, sim = at[order], dst[order], sim[order]
+        full = np.flatnonzero(np.bincount(at, minlength=len(qids)) >= k)
+        if len(full):
+            least[full] = np.maximum(least[full], sim[np.searchsorted(at, full, "right") - 1])
+    return qids[at], dst, sim
+
+
+def knn_graph(vectors: DataFrame, k: int = 8, floor: float = 0.05, key: str = "vec_id", vector: str = "embedding", section_rows: int = SECTION_ROWS) -> DataFrame:
+    """(src, dst, sim): each vector's k most similar others above the floor, exactly, at every size.
+
+    Every vector is scored against every other: sections of vectors are broadcast in turn, tasks hold a few thousand
+    vectors each and keep the best k of a section, so the work is quadratic and what is shuffled is k rows per vector
+    and section, never the pairs. Ties go to the smaller id.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    kind = dict(vectors.dtypes)[vector]
+    kind = kind if kind == "array<float>" else "array<double>"  # single precision is shipped as it is and scored in double
+    base = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull())
     n = base.count()
-    cells = max(1, min(MOST_CELLS, -(-n // cell_rows)))
-    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = base.where(unit < min(1.0, FIT_ROWS / max(n, 1))).orderBy("id").toPandas()
-    if not len(sample):
+    if not n:
         return spark.createDataFrame([], "src long, dst long, sim double")
-    fit = np.stack(sample["v"].to_numpy())
-    rng = np.random.default_rng(5)
-    centres = fit[rng.choice(len(fit), min(cells, len(fit)), replace=False)]
-    for _ in range(5):
-        own = (fit @ centres.T).argmax(1)
-        centres = np.stack([fit[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
-    shared = spark.sparkContext.broadcast(centres)
-    visits = min(probes, len(centres))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                scores = np.stack(pdf["v"].to_numpy()) @ shared.value.T
-                near = np.argpartition(-scores, visits - 1, axis=1)[:, :visits]
-                yield pdf.assign(own=scores.argmax(1), cells=list(near))
-
-    placed = base.mapInPandas(place, "id long, v array<double>, own int, cells array<int>")
-    held = placed.select(F.col("own").alias("cell"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (8 * cell_rows * cells))))).alias("block"), "id", "v")
-    blocks = max(1, -(-n // (8 * cell_rows * cells)))
-    asked = placed.select(F.explode("cells").alias("qcell"), F.col("id").alias("qid"), F.col("v").alias("qv")).withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "sim": []})
-        ids, data = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
-        out = []
-        for i in range(0, len(right), 512):
-            qid = right["qid"].to_numpy()[i : i + 512]
-            sims = np.round(np.stack(right["qv"].to_numpy()[i : i + 512]) @ data.T, 6)
-            for r, q in enumerate(qid):
-                ok = np.flatnonzero((sims[r] > floor) & (ids != q))
-                order = ok[np.lexsort((ids[ok], -sims[r][ok]))[:k]]
-                out += [(q, ids[j], sims[r][j]) for j in order]
-        return pd.DataFrame(out, columns=["src", "dst", "sim"])
-
-    scored = held.groupBy("cell", "block").cogroup(asked.groupBy("qcell", "qblock")).applyInPandas(score, "src long, dst long, sim double")
+    asked = base.repartition(max(1, -(-n // TASK_ROWS)), "id")
+    sections = -(-n // section_rows)
+    parts = []
+    for b in range(sections):
+        pdf = (base if sections == 1 else base.where(F.pmod(F.xxhash64("id"), F.lit(sections)) == b)).toPandas().sort_values("id", kind="stable")
+        if not len(pdf):
+            continue
+        shared = spark.sparkContext.broadcast((pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, data = shared.value
+            data = data.astype(np.float64)
+            for pdf in batches:
+                for i in range(0, len(pdf), TILE_ROWS):
+                    some = pdf.iloc[i : i + TILE_ROWS]
+                    src, dst, sim = best_pairs(some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64), ids, data, k, floor)
+                    yield pd.DataFrame({"src": src, "dst": dst, "sim": sim})
+
+        parts.append(asked.mapInPandas(scan, "src long, dst long, sim double"))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
     order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")

@@ -88,6 +88,30 @@ def test_knn_and_search_match_brute_force(spark):
     assert got == {(i, int(j)) for i in range(5) for j in np.lexsort((np.arange(300), -sims[i]))[:3]}
 
 
+def test_knn_graph_is_exact_beyond_sixteen_thousand_vectors(spark):
+    rng = np.random.default_rng(7)
+    n = 20_000
+    x = rng.normal(size=(n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[19_000] = x[18_000] = x[17_000]
+    asked = np.unique(np.r_[17_000, 18_000, 19_000, rng.choice(n, 200, replace=False)])
+    sims = np.round(x[asked] @ x.T, 6)
+    sims[np.arange(len(asked)), asked] = -9
+    expected = {(int(q), int(j)) for i, q in enumerate(asked) for j in np.lexsort((np.arange(n), -sims[i]))[:8]}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r["src"], r["dst"]) for r in knn.knn_graph(df).where(F.col("src").isin(asked.tolist())).collect()} == expected
+
+
+def test_knn_graph_is_the_same_in_sections(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(np.round(rng.normal(size=(700, 6)), 1).tolist())] + [(5, [0.3] * 6), (700, [float("nan")] * 6), (701, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in knn.knn_graph(df, k=3).collect())
+    assert whole == sorted(tuple(r) for r in knn.knn_graph(df.repartition(5), k=3, section_rows=90).collect())
+    assert not any(r[0] == r[1] or 700 in r[:2] for r in whole) and len(whole) >= 3 * 690
+    assert knn.knn_graph(df.limit(0)).count() == 0
+
+
 def test_relational_paths_decay_and_never_revisit(spark):
     edges = spark.createDataFrame([("A", "B"), ("B", "A"), ("B", "C"), ("C", "B")], "src string, dst string")
     seeds = spark.createDataFrame([("q", "A")], "query_id string, node string")
