@@ -1,11 +1,13 @@
 """Golden label rules, policies and classification scores."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from routeloom.operators import classification as K
 from routeloom.operators import outcomes as O
 from routeloom.operators import splits
+from routeloom.plans import catalog, tables
 
 METHODS = ("vector", "lightrag", "pathrag")
 
@@ -44,6 +46,31 @@ def test_gap_and_bootstrap(spark):
     assert O.win_tie_loss(df, "lightrag", "vector").first().asDict() == {"wins": 20, "ties": 0, "losses": 0}
 
 
+def resampled(d, samples=20_000):
+    """Mean and 95 % interval as in the reference: questions drawn with replacement."""
+    rng = np.random.default_rng(42)
+    m = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(samples)])
+    return d.mean(), *np.quantile(m, [0.025, 0.975])
+
+
+def test_grouped_bootstrap_matches_resampling_on_every_layout(spark):
+    rng = np.random.default_rng(1)
+    x, y = np.round(rng.random(300), 6), np.round(rng.choice([0.1, 0.4, 0.5], 300), 6)
+    df = facts(spark, *[((float(b), float(a), 0.1), (1, 1, 1)) for a, b in zip(x, y)])
+    row = tuple(O.bootstrap_ci_grouped(df, "lightrag", "vector").first())
+    assert row == pytest.approx(resampled(x - y), abs=0.0015)
+    assert row == pytest.approx(tuple(O.bootstrap_ci_grouped(df.repartition(7), "lightrag", "vector").first()), abs=1.1e-6)
+    assert tuple(O.bootstrap_ci_grouped(df.limit(0), "lightrag", "vector").first()) == (None, None, None)
+    assert O.bootstrap_ci_grouped(facts(spark, ((0.5, 0.7, 0.1), (1, 1, 1))), "lightrag", "vector").first()["low"] == pytest.approx(0.2)
+
+
+def test_registered_bootstrap_has_the_interval_of_twenty_thousand_replicates(spark, data):
+    rows = tables.outcomes(spark, data).toPandas().pivot(index="question_id", columns="method", values="answer_correctness").dropna(subset=["lightrag", "vector"])
+    d = (rows["lightrag"] - rows["vector"]).to_numpy()
+    row = tuple(catalog.QUERIES["bootstrap_ci_20000"](spark, data).first())
+    assert row == pytest.approx(resampled(d), abs=0.05 * d.std() / len(d) ** 0.5)
+
+
 def test_classification_counts_absent_labels(spark):
     df = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 3.0), ("b", "b", 1.0)], "truth string, prediction string, w double")
     assert K.macro_f1(df, ("a", "b", "c")).first()[0] == pytest.approx(round((2 / 3 + 2 / 3 + 0) / 3, 6))
