@@ -2,9 +2,10 @@
 
 Three kinds of evidence, used by the operators on answers and generations:
 
-* structure: a pushdown parser over fences, brackets, quotations, JSON strings,
-  entities and markup tells what is still open where the text stops;
-* words: a last word that the corpus nowhere shows as a finished word was cut;
+* structure: a pushdown parser over fences, brackets, quotations, lists, JSON
+  strings and markup tells what is still open where the text stops;
+* words: a last word that the corpus shows as a finished word far less often
+  than at such a stop was cut;
 * sentence ends: a small n-gram model of the contexts in which sentences end,
   fitted on a bounded sample of sentences that carry their mark.
 """
@@ -33,6 +34,11 @@ LEAST_SEEN = 10
 END_SHARE = 0.02
 #: Words rarer than this share of the fitted words are one class.
 RARE_SHARE = 3e-4
+#: A last word was cut when the corpus finishes it less than once in so many texts that stop in it. A share, so
+#: that the verdict doesn't turn with a single chance occurrence as the corpus grows.
+FINISHED_EVERY = 50
+#: Words that are looked up in the corpus by a broadcast; more are looked up by counting all words.
+BROADCAST_WORDS = 200_000
 
 _CJK = "぀-ヿ㐀-䶿一-鿿"
 _TOKEN = re.compile(rf"[{_CJK}]|(?:(?![{_CJK}])[^\W_])+|[,;:，；：、]")
@@ -56,28 +62,52 @@ def without_trail(column: Column) -> Column:
     return F.rtrim(column, F.lit(_TRAIL))
 
 
+def without_notes(column: Column) -> Column:
+    """The text without what ``without_trail`` takes off, and without notes in brackets at its end."""
+    bare = without_trail(column)
+    notes = F.rtrim(F.regexp_replace(bare, r"(?:\s*(?:\[\w{1,12}\]|\([^()\[\]]{1,30}\)))+$", ""), F.lit(_TRAIL))
+    return F.when(F.right(bare, F.lit(1)).isin(")", "]"), notes).otherwise(bare)
+
+
+#: What can open a structure: without any of it a text has none.
+_OPENS = "[(\\[{<`“„«»\"]"
+
+
 def surely_whole(column: Column) -> Column:
-    """True for texts that end with a sentence mark before quiet characters, outside any structure.
+    """True for texts that end with a sentence mark before quiet characters and hold nothing that opens a structure.
 
-    Runs in the JVM by trims alone, so that only the rest goes to Python; a note after the mark is left to that
-    too. Texts that open with a brace or bracket are whole only when they parse as JSON.
+    Runs in the JVM over whole texts, so that only the rest goes to the parser in Python; a note after the mark and
+    a number before it (perhaps a bare list mark) are left to that too. Texts that open with a brace or bracket are
+    whole only when they parse as JSON.
     """
     structured = F.left(F.ltrim(column), F.lit(1)).isin("{", "[")
     valid = F.try_parse_json(F.trim(column)).isNotNull()
     end = F.right(F.rtrim(column, F.lit(_QUIET)), F.lit(2))
-    marked = F.right(end, F.lit(1)).isin(*".!?。！？") & (end != "..")
-    return F.when(structured, valid).otherwise(marked)
+    marked = F.right(end, F.lit(1)).isin(*".!?。！？") & (end != "..") & ~end.rlike("^[0-9]")
+    return F.when(structured, valid).otherwise(marked & ~column.rlike(_OPENS))
 
 
 def cut_entities(text: str) -> str:
     return CUT_MARK.sub("", text)
 
 
+_STRUCTURE = re.compile(
+    r"```|<!--|-->|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,400})?/?>|[()\[\]{}“”„«»]"
+    r"|(?<![\w\"])\"(?=\w)|(?<=[\w.,!?;:%)…])\"(?!\w)"
+)
+#: Markup whose end may be left out, or that has none.
+_UNPAIRED = frozenset("p br hr img input meta link wbr col li dt dd tr td th thead tbody tfoot option html body head".split())
+_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“"}
+_KINDS = {"(": "bracket", "[": "bracket", "{": "bracket", "“": "quote", "„": "quote", "«": "quote", "»": "quote", '"': "marks", "<!--": "tag", "```": "fence"}
+
+
 def open_structure(text: str) -> str | None:
-    """What is still open at the end of a text: json, fence, bracket, quote, tag or None.
+    """What is still open at the end of a text: json, fence, bracket, quote, marks, tag, list or None.
 
-    A pushdown automaton reads the text once. In a text that opens as JSON, strings and escapes are honoured;
-    in prose only fences, brackets with their partner, curly quotes and tags count.
+    A pushdown automaton reads the whole text once. In a text that opens as JSON, strings and escapes are honoured.
+    In prose fences, comments, paired markup, brackets, quotations of several kinds and straight quotation marks go
+    on a stack; a closing sign takes everything off it down to its partner, and counts for nothing without one.
+    Inside a fence or comment only its end counts. A list mark with nothing after it leaves the list open.
     """
     head = text.lstrip()[:2]
     if head[:1] in "{[" and re.match(r"[\[{]\s*[\[{\"\]}]", text.lstrip()[:40]):
@@ -101,23 +131,59 @@ def open_structure(text: str) -> str | None:
             return "json"
         try:
             json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):
             return "json"
         return None
-    if text.count("```") % 2:
-        return "fence"
-    stack = []
-    pairs = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-    for ch in text:
-        if ch in "([{“«":
-            stack.append(ch)
-        elif ch in pairs and pairs[ch] in stack:
-            while stack.pop() != pairs[ch]:
-                pass
+    stack: list[str] = []
+    held: dict[str, int] = {}  # how often each sign is on the stack
+
+    def push(sign: str) -> None:
+        stack.append(sign)
+        held[sign] = held.get(sign, 0) + 1
+
+    def close(sign: str) -> bool:
+        if not held.get(sign):
+            return False
+        while True:
+            top = stack.pop()
+            held[top] -= 1
+            if top == sign:
+                return True
+
+    for m in _STRUCTURE.finditer(text):
+        sign = m.group()
+        if held.get("```"):
+            if sign == "```":
+                close("```")
+        elif held.get("<!--"):
+            if sign == "-->":
+                close("<!--")
+        elif sign in _CLOSES:
+            if not close(_CLOSES[sign]) and sign == "”":
+                close("„")
+        elif sign == "“":  # closes a low opening mark, opens otherwise
+            if not close("„"):
+                push(sign)
+        elif sign in "«»":  # either may open
+            if not close("»" if sign == "«" else "«") and (sign == "«" or text[m.end() : m.end() + 1].isalpha()):
+                push(sign)
+        elif sign == '"':
+            opens = text[m.end() : m.end() + 1].isalnum() and not (m.start() and text[m.start() - 1].isalnum())
+            push(sign) if opens else close(sign)
+        elif sign[0] == "<" and sign != "<!--":
+            name = re.match(r"</?([A-Za-z0-9]+)", sign).group(1).lower()
+            if sign[1] == "/":
+                close("<" + name)
+            elif name not in _UNPAIRED and not sign.endswith("/>"):
+                push("<" + name)
+        elif sign != "-->":
+            push(sign)
     if stack:
-        return "quote" if stack[-1] in "“«" else "bracket"
-    if re.search(r"<[A-Za-z/][^<>]{0,80}$", text):
+        return _KINDS.get(stack[-1], "tag")
+    if re.search(r"<[A-Za-z/][^<>]{0,400}$", text):
         return "tag"
+    if re.search(r"(?:\n|^)[ \t]*(?:[-*•+]|\d{1,3}[.)])\s*$", text):
+        return "list"
     return None
 
 
@@ -258,7 +324,7 @@ def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
     had_mark = bool(CUT_MARK.search(text)) and not re.search(r"[.!?。！？]\s*(?:…|\.{2,})\s*$", text)
     core = NEUTRAL.sub("", text)
     structure = open_structure(cut_entities(text) if not text.lstrip()[:1] in "{[" else text)
-    if structure in ("json", "fence"):
+    if structure in ("json", "fence", "list"):
         return "open", "", 0.0
     bare_core = CUT_MARK.sub("", core).rstrip()
     tokens, words, bare = word_shape(bare_core)
@@ -266,27 +332,36 @@ def stop_state(text: str, model: EndModel) -> tuple[str, str, float]:
         return "whole", "", 1.0
     if had_mark:
         return "cut", words[-1], 0.0
-    if STOP.search(core):
+    stops = bool(STOP.search(core))
+    if structure in ("bracket", "tag") or (structure == "quote" and stops):
+        return "open", words[-1], 0.0
+    if stops:
         return "whole", words[-1], 1.0
     if tokens[-1] in ",;，；、" or (tokens[-1] in ":：" and len(words) > 3):
         return "cut", words[-1], 0.0
-    if structure in ("bracket", "tag"):
-        return "open", words[-1], 0.0
     named = "named" if words[-1] > "⺀" or model.ends_like_word(words[-1]) else "words"
     if bare:
         return named, words[-1], 1.0
     share = model.end_share(tokens)
-    if structure == "quote" and not share > END_SHARE:
+    if structure in ("quote", "marks") and not share > END_SHARE:
         return "open", words[-1], 0.0
     return named, words[-1], 1.0 if math.isnan(share) else share
 
 
 def finished_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, inner): how often each wanted word stands in ``texts`` with more of the sentence, or its mark, after it.
+    """(word, inner): in how many ``texts`` each wanted word stands with more of the sentence, or its mark, after it.
 
-    The corpus is tokenised in the JVM over whole texts and only wanted words are counted; partial counts are
-    made before the shuffle.
+    The corpus is tokenised in the JVM over whole texts. Up to ``BROADCAST_WORDS`` wanted words are broadcast, so
+    that only they are counted; of more all words are counted and met afterwards. Both give the same counts, made in
+    part before the shuffle.
     """
     tokens = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"([\p{L}\p{N}]+)(?=[\s,;:'\"()\[\]/–-]+[\p{L}\p{N}]|[.!?。！？])"), 1)
-    counted = texts.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("inner"))
-    return wanted.join(counted, "word", "inner")
+    words = texts.select(F.explode(F.array_distinct(tokens)).alias("word"))
+    if wanted.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return words.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("inner"))
+    return words.groupBy("word").agg(F.count("*").alias("inner")).join(wanted, "word", "left_semi")
+
+
+def unfinished(ends: Column, inner: Column) -> Column:
+    """Whether a word that ``ends`` texts stop in, and ``inner`` texts finish, was cut."""
+    return F.coalesce(inner, F.lit(0)) * FINISHED_EVERY < ends

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .textforms import fold, repair, words
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "zh")
@@ -74,8 +75,8 @@ def label_code(column: Column) -> Column:
     return F.coalesce(F.element_at(table, clean), F.element_at(table, F.split(clean, "[-_ ]").getItem(0)))
 
 
-def fit_words(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> dict[str, dict[str, float]]:
-    """Word log-likelihoods per language from a bounded sample of labelled rows (``fit_rows`` per language).
+def count_words(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> tuple[dict[str, dict[str, float]], dict[str, int]]:
+    """(documents with each word, documents) per language of a bounded sample of labelled rows (``fit_rows`` per language).
 
     The sample is chosen by a hash of the id, so it doesn't depend on the layout; each sampled text is read
     whole. At most ``fit_words`` words per language reach the driver.
@@ -102,23 +103,33 @@ def fit_words(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WO
     seen: dict[str, dict[str, float]] = {code: {} for code in LANGUAGES}
     for r in rows:
         seen[r["code"]][r["word"]] = float(r["n"])
-    docs_per = {code: min(fit_rows, sizes.get(code, 0)) + 10.0 for code in LANGUAGES}
+    return seen, {code: min(fit_rows, sizes.get(code, 0)) for code in LANGUAGES}
+
+
+def fit_words(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> dict[str, tuple[float, ...]]:
+    """Log-likelihoods of words, a tuple in the order of the languages, from ``count_words`` and the function words."""
+    seen, sampled = count_words(docs, fit_rows, fit_words)
+    docs_per = {code: sampled[code] + 10.0 for code in LANGUAGES}
     for code, text in FUNCTION_WORDS.items():
         for w in text.split():
             seen[code][w] = seen[code].get(w, 0.0) + 5.0
     vocabulary = set().union(*seen.values())
-    model: dict[str, dict[str, float]] = {}
-    for w in vocabulary:
-        model[w] = {code: math.log((seen[code].get(w, 0.0) + 0.5) / (docs_per[code] + 1.0)) for code in LANGUAGES}
-    return model
+    return {w: tuple(math.log((seen[code].get(w, 0.0) + 0.5) / (docs_per[code] + 1.0)) for code in LANGUAGES) for w in vocabulary}
+
+
+#: Hosts whose priors are broadcast; the documents of more are joined to them by salted host.
+BROADCAST_HOSTS = 50_000
+#: Parts into which a host's documents are dealt where its prior is joined by a shuffle.
+HOST_SALT = 32
 
 
 def host_priors(docs: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """(source, corpus_name, prior): log-priors of the languages in order, smoothed all documents > source > corpus."""
-    counts = docs.where(F.col("code").isNotNull()).groupBy("source", "corpus_name", "code").agg(F.count("*").alias("n"))
-    arrays = counts.groupBy("source", "corpus_name").agg(
-        *[F.sum(F.when(F.col("code") == c, F.col("n")).otherwise(0)).cast("double").alias(c) for c in LANGUAGES]
-    )
+    """(source, corpus_name, prior): log-priors of the languages in order, smoothed all documents > source > corpus.
+
+    The rows are counted once; all three levels are sums of those counts.
+    """
+    counts = docs.where(F.col("code").isNotNull()).groupBy("source", "corpus_name")
+    arrays = cut_lineage(counts.agg(*[F.count_if(F.col("code") == c).cast("double").alias(c) for c in LANGUAGES]))
     sources = arrays.groupBy("source").agg(*[F.sum(c).alias(f"s_{c}") for c in LANGUAGES])
     everything = arrays.agg(*[F.sum(c).alias(f"g_{c}") for c in LANGUAGES])
     total = lambda prefix: sum((F.col(prefix + c) for c in LANGUAGES), F.lit(0.0))
@@ -132,6 +143,17 @@ def host_priors(docs: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     return joined.select("source", "corpus_name", F.array(*priors).alias("prior"))
 
 
+def with_priors(docs: DataFrame, priors: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """``docs`` with the prior of their host: broadcast up to ``broadcast_hosts`` hosts (some 10 MB), joined by salted host beyond."""
+    priors = cut_lineage(priors)
+    host = ["source", "corpus_name"]
+    if priors.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+        return docs.join(F.broadcast(priors), host, "left")
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(HOST_SALT)).cast("int"))
+    spread = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALT - 1))))
+    return salted.join(spread, [*host, "salt"], "left").drop("salt")
+
+
 def _posterior(scores: list[float]) -> list[float]:
     top = max(scores)
     raw = [math.exp(s - top) for s in scores]
@@ -150,7 +172,7 @@ def _pieces(text: str) -> list[tuple[int, int, bool]]:
     return [x for x in out if text[x[0] : x[1]].strip()]
 
 
-def classify(text: str, prior: list[float], model: dict[str, dict[str, float]]):
+def classify(text: str, prior: list[float], model: dict[str, tuple[float, ...]]):
     """Document posterior, its languages with full sentences, and its segments.
 
     A segment is a full sentence when it has at least five words (six characters of Chinese), at least three
@@ -167,17 +189,10 @@ def classify(text: str, prior: list[float], model: dict[str, dict[str, float]]):
     segments, found = [], {}
     for first, last, mark in _pieces(text):
         tokens = words(fold(text[first:last]))
-        score, known, han = [0.0] * len(LANGUAGES), 0, 0
-        for t in tokens:
-            if t > "⺀":
-                han += 1
-                score[-1] += 3.0
-                continue
-            logs = model.get(t)
-            if logs is not None:
-                known += 1
-                for k, code in enumerate(LANGUAGES):
-                    score[k] += logs[code]
+        logs = [model[t] for t in tokens if t in model and t < "⺀"]
+        known, han = len(logs), 0 if text.isascii() else sum(t > "⺀" for t in tokens)
+        score = [sum(c) for c in zip(*logs)] if logs else [0.0] * len(LANGUAGES)
+        score[-1] += 3.0 * han
         for k in range(len(LANGUAGES)):
             whole[k] += score[k]
         post = _posterior([b + s for b, s in zip(base, score)])
@@ -205,7 +220,7 @@ def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words
     Needs doc_id and text; lang, source and corpus_name are used where present (missing columns and nulls count
     as unknown). Null, empty or letterless texts get a null language, confidence 0 and empty lists. Repeated
     documents are judged each on its own. Offsets are characters of the text, or of its mended form where the
-    encoding was broken. The model (bounded) is the only thing that leaves the driver; priors are joined.
+    encoding was broken. What leaves the driver is the model (bounded) and the priors of a counted number of hosts.
     """
     have = {c.lower() for c in documents.columns}
     text_of = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
@@ -241,7 +256,7 @@ def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words
                 rows.append((doc_id, code, lang, conf, listed, parts))
             yield pd.DataFrame(rows, columns=["doc_id", "declared", "lang", "confidence", "languages", "segments"])
 
-    return docs.join(priors, ["source", "corpus_name"], "left").select("doc_id", "text", "code", "prior").mapInPandas(run, SCHEMA)
+    return with_priors(docs, priors).select("doc_id", "text", "code", "prior").mapInPandas(run, SCHEMA)
 
 
 def label_problems(identified: DataFrame) -> DataFrame:

@@ -65,8 +65,14 @@ def _fold_plain(text: str) -> str:
     return "".join(c for c in text.translate(LOOKALIKES) if not unicodedata.combining(c)).lower()
 
 
+#: Without any of these an ASCII text has neither markup, entities nor words broken over lines.
+_MARKS = re.compile(r"[<&]|-\r?\n")
+
+
 def fold(text: str) -> str:
     """Lower-case, accent-free text without markup, entities and broken encodings."""
+    if text.isascii() and not _MARKS.search(text):
+        return text.lower()
     return _fold_plain(_PRE.sub(lambda m: _replacement(m.group()), text))
 
 
