@@ -9,6 +9,7 @@ stretches that keeps the item's word order gives the leaked share.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .textforms import WORD, fold, fold_with_offsets
 
 RUN = 7
@@ -60,6 +62,19 @@ def build_automaton(items: list[tuple[int, str]], run: int = RUN):
     return automaton, meta
 
 
+_built: dict[str, tuple] = {}
+
+
+def worker_automaton(name: str, shared, run: int) -> tuple:
+    """(automaton, meta, item ids) of a broadcast block of items, built once in a worker process and kept for its next task."""
+    if name not in _built:
+        _built.clear()
+        rows = shared.value
+        automaton, meta = build_automaton([(n, text) for n, (_, text) in enumerate(rows)], run)
+        _built[name] = (automaton, meta, [item_id for item_id, _ in rows])
+    return _built[name]
+
+
 def _squeeze(folded: str) -> tuple[str, bytearray, list[tuple[int, int]]]:
     """Letters and digits only; marks at places where a word starts (1) or ends (2); the words' spans."""
     spans = [m.span() for m in WORD.finditer(folded)]
@@ -75,25 +90,37 @@ def _squeeze(folded: str) -> tuple[str, bytearray, list[tuple[int, int]]]:
 
 
 def _chain(stretches: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int, int]]]:
-    """Heaviest chain of (doc_start, item_first, item_last) stretches increasing in both; shared words count once."""
+    """Heaviest chain of (doc_start, item_first, item_last) stretches in the order of both; shared words count once.
+
+    The best chain is kept by the item word at which it ends, so a document that repeats an item many times costs
+    its stretches times the item's words.
+    """
     stretches.sort()
-    best: list[tuple[int, int]] = []
+    by_end: dict[int, tuple[int, int]] = {}  # item word: (words, stretch)
+    back = [-1] * len(stretches)
+    value = [0] * len(stretches)
+    waiting: list[int] = []  # stretches of one document place can't follow each other
     for i, (doc, first, last) in enumerate(stretches):
-        value, back = last - first + 1, -1
-        for j in range(i):
-            _, f, l = stretches[j]
-            if f < first and l < last and stretches[j][0] < doc:
-                gain = best[j][0] + last - max(first, l + 1) + 1
-                if gain > value:
-                    value, back = gain, j
-        best.append((value, back))
-    if not best:
+        if waiting and stretches[waiting[0]][0] < doc:
+            for j in waiting:
+                end = stretches[j][2]
+                if value[j] > by_end.get(end, (0, -1))[0]:
+                    by_end[end] = (value[j], j)
+            waiting = []
+        value[i] = last - first + 1
+        for end, (words, j) in by_end.items():
+            if end < last:
+                gain = words + last - max(first, end + 1) + 1
+                if gain > value[i]:
+                    value[i], back[i] = gain, j
+        waiting.append(i)
+    if not stretches:
         return 0, []
-    k = max(range(len(best)), key=lambda i: best[i][0])
-    total, path = best[k][0], []
+    k = max(range(len(stretches)), key=lambda i: value[i])
+    total, path = value[k], []
     while k >= 0:
         path.append(stretches[k])
-        k = best[k][1]
+        k = back[k]
     return total, path[::-1]
 
 
@@ -150,8 +177,9 @@ def leaked_passages(
     Null or empty texts and items shorter than ``run`` words match nothing; repeated documents each report
     their items; an empty side gives no rows; an item id that repeats is scanned under each of its texts and
     reported once, with its highest share. Documents are only streamed, never shuffled. The items are a stated
-    query set: they are fetched and broadcast in blocks of at most ``block_items`` so that what leaves the
-    driver is bounded whatever their number.
+    query set: they are fetched and broadcast in blocks of at most ``block_items``. Of several blocks each is scanned
+    and its result written to the checkpoint folder before the next is fetched, so that what driver and executors
+    hold is bounded whatever the number of items. A worker builds a block's automaton once.
     """
     spark = documents.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -160,19 +188,15 @@ def leaked_passages(
     docs = docs.where(F.col("text").isNotNull() & (F.length("text") > 0))
     total = items.count()
     blocks = max(1, -(-total // block_items))
-    parts = []
+    out = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = sorted((r.item_id, r.text) for r in block.collect())
         shared = spark.sparkContext.broadcast(rows)
+        name = uuid.uuid4().hex
 
-        def run_scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            by_id: dict[int, int] = {}
-            pairs = []
-            for n, (item_id, text) in enumerate(shared.value):
-                by_id[n] = item_id
-                pairs.append((n, text))
-            automaton, meta = build_automaton(pairs, run)
+        def run_scan(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            automaton, meta, by_id = worker_automaton(name, shared, run)
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             for pdf in batches:
                 rows = []
@@ -186,10 +210,11 @@ def leaked_passages(
                         rows += [(doc_id, item, *rest) for item, rest in found.items()]
                 yield pd.DataFrame(rows, columns=names)
 
-        parts.append(docs.mapInPandas(run_scan, SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found = docs.mapInPandas(run_scan, SCHEMA)
+        if blocks > 1:
+            found = cut_lineage(found)
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 

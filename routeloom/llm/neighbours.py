@@ -3,9 +3,10 @@
 Vectors fall into coarse cells; what each lacks from its centre is coded by a
 product quantiser with 16 centres per dimension (four bits) whose training and
 coding weigh the error along the vector more than across it (score-aware,
-anisotropic loss). A query visits its nearest cells; in each, scores against the coded vectors (the
-lookup tables of a block of queries times the block's codes, evaluated as one
-dense product) leave a shortlist that is scored exactly.
+anisotropic loss). A query visits its nearest cells. In each, its lookup tables
+of one byte an entry are scanned by the packed codes: a byte of the code names
+the sum of two table entries, and sums of whole numbers rank the vectors. The
+shortlist is scored exactly.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 DIMENSIONS = 64
-#: Vectors on which cells and codebooks are fitted, chosen by hash of the id.
-FIT_VECTORS = 20_000
-#: Vectors a cell should hold, most cells, and cells a query visits.
-CELL_SIZE, MOST_CELLS, PROBES = 512, 4096, 10
+#: Vectors on which cells and codebooks are fitted, chosen by hash of the id: so many at least, and so many a cell.
+FIT_VECTORS, FIT_PER_CELL = 20_000, 8
+#: Vectors a cell should hold, and most cells (their centres are broadcast: 17 MB at most).
+CELL_SIZE, MOST_CELLS = 512, 65_536
+#: Cells above which centres are fitted and looked up over two levels.
+FLAT_CELLS = 1024
+#: A query visits the cells whose centre is at least so near to it as this share of the nearest centre's similarity,
+#: and no more than ``PROBES``.
+PROBES, PROBE_SHARE = 16, 0.8
 #: Rows of one block of a cell: vectors and queries.
 BLOCK, QUERY_BLOCK = 4096, 8192
-#: Candidates per block that are scored exactly.
-SHORTLIST = 96
+#: Candidates per block that are scored in single precision; the nearest few of them in double.
+SHORTLIST = 160
 #: Similarity from which an error along the vector matters (sets the anisotropic weight).
 SCORE_THRESHOLD = 0.2
 
@@ -110,10 +116,22 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def unpack(packed: np.ndarray) -> np.ndarray:
-    codes = np.empty((packed.shape[0], packed.shape[1] * 2), dtype=np.uint8)
-    codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
-    return codes
+def table_scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """(vectors, queries) whole-number scores, greater for nearer vectors, of packed four-bit codes.
+
+    ``tables`` is (queries, parts, 16): products of each query with each centre. They are brought to one byte an entry
+    by query; the two tables of a byte of the code become one of 256 sums, whose rows are gathered and added.
+    """
+    low = tables.min(axis=2, keepdims=True)
+    step = np.maximum((tables.max(axis=2, keepdims=True) - low).max(axis=1, keepdims=True), 1e-12) / 255.0
+    entries = np.ascontiguousarray(np.rint((tables - low) / step).astype(np.uint16).transpose(1, 2, 0))  # parts, 16, queries
+    total = np.zeros((len(packed), tables.shape[0]), dtype=np.uint16)
+    row = np.empty_like(total)
+    for j in range(packed.shape[1]):
+        pair = (entries[2 * j + 1][:, None] + entries[2 * j][None]).reshape(256, -1)
+        np.take(pair, packed[:, j], axis=0, out=row, mode="clip")
+        total += row
+    return total
 
 
 def fit_cells(units: np.ndarray, cells: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
@@ -129,6 +147,57 @@ def fit_cells(units: np.ndarray, cells: int, rounds: int = 6, seed: int = 11) ->
     return centres
 
 
+class Cells:
+    """Cell centres, in one level or, beyond ``FLAT_CELLS``, in groups under upper centres."""
+
+    def __init__(self, units: np.ndarray, cells: int):
+        if cells <= FLAT_CELLS:
+            self.upper, self.groups = None, []
+            self.centres = fit_cells(units, cells).astype(np.float32)
+            return
+        upper = fit_cells(units, math.isqrt(cells)).astype(np.float32)
+        own = np.concatenate([(units[i : i + 4096].astype(np.float32) @ upper.T).argmax(1) for i in range(0, len(units), 4096)])
+        kept, parts, at = [], [], 0
+        self.groups = []
+        for g in range(len(upper)):
+            mine = units[own == g]
+            if len(mine):
+                part = fit_cells(mine, max(1, round(cells * len(mine) / len(units))))
+                kept.append(upper[g])
+                parts.append(part.astype(np.float32))
+                self.groups.append((at, at + len(part)))
+                at += len(part)
+        self.upper, self.centres = np.stack(kept), np.concatenate(parts)
+
+    def nearest(self, units: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, similarities) of the ``most`` nearest centres of each vector, nearest first."""
+        units = units.astype(np.float32)
+        if self.upper is None:
+            return self._best(units @ self.centres.T, most, None)
+        near = self.upper.shape[0] if self.upper.shape[0] <= 8 else 8
+        rough = units @ self.upper.T
+        visited = np.argpartition(-rough, near - 1, axis=1)[:, :near]
+        width = max(b - a for a, b in self.groups)
+        scores = np.full((len(units), near * width), -np.inf, dtype=np.float32)
+        names = np.zeros((len(units), near * width), dtype=np.int32)
+        for g, (a, b) in enumerate(self.groups):
+            rows, slots = np.nonzero(visited == g)
+            if len(rows):
+                columns = slots[:, None] * width + np.arange(b - a)[None]
+                scores[rows[:, None], columns] = units[rows] @ self.centres[a:b].T
+                names[rows[:, None], columns] = np.arange(a, b, dtype=np.int32)[None]
+        return self._best(scores, most, names)
+
+    @staticmethod
+    def _best(scores: np.ndarray, most: int, names: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        most = min(most, scores.shape[1])
+        top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+        held = np.take_along_axis(scores, top, 1)
+        order = np.argsort(-held, axis=1, kind="stable")
+        top, held = np.take_along_axis(top, order, 1), np.take_along_axis(held, order, 1)
+        return (top if names is None else np.take_along_axis(names, top, 1)).astype(np.int32), held
+
+
 def _units(blobs: pd.Series, dimensions: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(blobs), dtype="<f4").reshape(len(blobs), dimensions).astype(np.float64)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
@@ -164,6 +233,7 @@ def nearest_neighbours(
     dimensions: int = DIMENSIONS,
     cell_size: int = CELL_SIZE,
     probes: int = PROBES,
+    probe_share: float = PROBE_SHARE,
     shortlist: int = SHORTLIST,
     fit_vectors: int = FIT_VECTORS,
 ) -> DataFrame:
@@ -175,8 +245,8 @@ def nearest_neighbours(
 
     Equal vectors are searched once: of a group only its k + 1 smallest ids can be neighbours, found in two
     salted steps, so a group of any size costs one vector. Cells too large for a task are cut into blocks of
-    vectors and of queries. Nothing unbounded reaches the driver: it holds the fit sample, the cell centres (at
-    most ``MOST_CELLS``) and the codebook.
+    vectors and of queries. Nothing unbounded reaches the driver: it holds the fit sample (at most ``FIT_PER_CELL``
+    times ``MOST_CELLS`` vectors), the cell centres (at most ``MOST_CELLS``) and the codebook.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(usable_vectors(vectors, dimensions))
@@ -188,34 +258,38 @@ def nearest_neighbours(
         .groupBy("spot")
         .agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("heads"))
     )
-    distinct = rows.groupBy("spot").agg(F.min_by("raw", "id").alias("raw"), F.count("*").alias("members"))
+    # Of equal vectors the one with the smallest id stands for all; only (spot, id) is shuffled to find the others.
+    repeated = heads.where(F.size("heads") > 1).select("spot", F.col("heads")[0].alias("id"))
+    stands = rows.join(repeated.select("spot", F.col("id").alias("least")), "spot", "left").where(F.col("least").isNull() | (F.col("least") == F.col("id")))
+    distinct = cut_lineage(stands.select("spot", "raw"))
     n = distinct.count()
     if n == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    share = min(1.0, fit_vectors / n)
+    cells = max(1, min(MOST_CELLS, math.ceil(n / cell_size)))
+    share = min(1.0, max(fit_vectors, FIT_PER_CELL * cells) / n)
     unit_hash = F.pmod(F.xxhash64("spot"), F.lit(1 << 30)) / float(1 << 30)
     sample = distinct.where(unit_hash < share).orderBy("spot").select("raw").toPandas()
     if not len(sample):
-        sample = distinct.select("raw").limit(1).toPandas()
+        sample = distinct.orderBy("spot").limit(1).select("raw").toPandas()
     fitted = _units(sample["raw"], dimensions)
-    cells = max(1, min(MOST_CELLS, math.ceil(n / cell_size), max(1, len(fitted) // 4)))
-    centres = fit_cells(fitted, cells)
-    base = np.concatenate([centres[(fitted[i : i + 4096] @ centres.T).argmax(1)] for i in range(0, len(fitted), 4096)])
-    quantiser = Quantiser(dimensions).fit(fitted, base)
-    shared = spark.sparkContext.broadcast((centres.astype(np.float32), quantiser))
-    visits = min(probes, len(centres))
+    index = Cells(fitted, max(1, min(cells, len(fitted) // 4)))
+    base = np.concatenate([index.centres[index.nearest(fitted[i : i + 4096], 1)[0][:, 0]] for i in range(0, len(fitted), 4096)]).astype(np.float64)
+    # The codebook has 16 centres a dimension: FIT_VECTORS vectors are plenty for it.
+    some = np.random.default_rng(3).permutation(len(fitted))[:fit_vectors]
+    quantiser = Quantiser(dimensions).fit(fitted[some], base[some])
+    shared = spark.sparkContext.broadcast((index, quantiser))
+    visits = min(probes, len(index.centres))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, quantiser = shared.value
+        index, quantiser = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            units = _units(pdf["raw"], dimensions)
-            scores = units.astype(np.float32) @ centres.T
-            best = np.argpartition(-scores, visits - 1, axis=1)[:, :visits]
-            own = scores.argmax(1)
-            codes = pack(quantiser.encode(units, centres[own].astype(np.float64)))
-            yield pd.DataFrame({"spot": pdf["spot"], "raw": pdf["raw"], "cell": own.astype("int32"), "cells": [b.astype("int32") for b in best], "code": [c.tobytes() for c in codes]})
+            for i in range(0, len(pdf), 4096):
+                some = pdf.iloc[i : i + 4096]
+                units = _units(some["raw"], dimensions)
+                best, near = index.nearest(units, visits)
+                wanted = (near >= probe_share * near[:, :1]) | (np.arange(near.shape[1]) == 0)
+                codes = pack(quantiser.encode(units, index.centres[best[:, 0]].astype(np.float64)))
+                yield pd.DataFrame({"spot": some["spot"], "raw": some["raw"], "cell": best[:, 0], "cells": [b[w] for b, w in zip(best, wanted)], "code": [c.tobytes() for c in codes]})
 
     placed = cut_lineage(distinct.select("spot", "raw").mapInPandas(place, "spot long, raw binary, cell int, cells array<int>, code binary"))
     queries = placed.select("spot", "raw", F.explode("cells").alias("cell"))
@@ -239,26 +313,35 @@ def nearest_neighbours(
         columns = ["spot", "other", "similarity"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in columns})
-        centres, quantiser = shared.value
+        quantiser = shared.value[1]
         packed = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
-        coded = (centres[left["cell"].iloc[0]] + quantiser.decode(unpack(packed))).astype(np.float32)
         exact = _units(left["raw"], dimensions)
+        single = exact.astype(np.float32)
         ids, asking = left["spot"].to_numpy(), right["asking"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = min(shortlist + 1, len(ids))
         keep = min(k + 1, size)
-        for i in range(0, len(asking), 1024):
-            units = _units(right["query"].iloc[i : i + 1024], dimensions)
-            rough = units.astype(np.float32) @ coded.T
-            cand = np.argpartition(-rough, size - 1, axis=1)[:, :size] if size < len(ids) else np.tile(np.arange(len(ids)), (len(units), 1))
-            sims = np.einsum("qd,qcd->qc", units, exact[cand])
-            sims[ids[cand] == asking[i : i + 1024, None]] = -9.0
-            top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep] if keep < size else np.tile(np.arange(size), (len(units), 1))
+        for i in range(0, len(asking), 256):
+            units = _units(right["query"].iloc[i : i + 256], dimensions)
+            if size < len(ids):
+                tables = np.einsum("qpw,pcw->qpc", units.reshape(len(units), quantiser.parts, quantiser.width), quantiser.centres)
+                rough = np.ascontiguousarray(table_scan(tables.astype(np.float32), packed).T)
+                cand = np.argpartition(rough, len(ids) - size, axis=1)[:, len(ids) - size :]
+                if size > keep + 8:
+                    near = np.matmul(single[cand], units.astype(np.float32)[:, :, None])[:, :, 0]
+                    cand = np.take_along_axis(cand, np.argpartition(near, size - keep - 8, axis=1)[:, size - keep - 8 :], 1)
+                sims = np.einsum("qd,qcd->qc", units, exact[cand])
+            else:
+                cand = np.broadcast_to(np.arange(len(ids)), (len(units), len(ids)))
+                sims = units @ exact.T
+            sims[ids[cand] == asking[i : i + 256, None]] = -9.0
+            held = sims.shape[1]
+            top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep] if keep < held else np.tile(np.arange(held), (len(units), 1))
             rows_ = np.repeat(np.arange(len(units)), top.shape[1])
             s = np.take_along_axis(sims, top, 1).ravel()
             o = ids[np.take_along_axis(cand, top, 1).ravel()]
             ok = s > -5.0
-            out.append((asking[i : i + 1024][rows_][ok], o[ok], s[ok]))
+            out.append((asking[i : i + 256][rows_][ok], o[ok], s[ok]))
         return pd.DataFrame({c: np.concatenate([x[j] for x in out]) for j, c in enumerate(columns)})
 
     scored = held.groupBy("cell", "d", "q").cogroup(asked.groupBy("qcell", "qd", "qq")).applyInPandas(scan, "spot long, other long, similarity double")

@@ -179,7 +179,9 @@ def fill_containers(
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    return sized.groupBy("shard").applyInPandas(place, "doc_id long, piece int, tokens long, container string")
+    # An explicit count of partitions: the shards are few bytes, and would be coalesced into one task otherwise.
+    parts = max(1, min(shards, max(2 * documents.sparkSession.sparkContext.defaultParallelism, shards // 16)))
+    return sized.repartition(parts, "shard").groupBy("shard").applyInPandas(place, "doc_id long, piece int, tokens long, container string")
 
 
 def container_fill(packed: DataFrame, capacity: int) -> DataFrame:
