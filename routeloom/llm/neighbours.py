@@ -29,8 +29,8 @@ CELL_SIZE, MOST_CELLS = 512, 65_536
 #: Cells above which centres are fitted and looked up over two levels.
 FLAT_CELLS = 1024
 #: A query visits the cells whose centre is at least so near to it as this share of the nearest centre's similarity,
-#: and no more than ``PROBES``.
-PROBES, PROBE_SHARE = 16, 0.8
+#: but ``LEAST_PROBES`` at least and no more than ``PROBES``.
+PROBES, LEAST_PROBES, PROBE_SHARE = 16, 3, 0.8
 #: Rows of one block of a cell: vectors and queries.
 BLOCK, QUERY_BLOCK = 4096, 8192
 #: Candidates per block that are scored in single precision; the nearest few of them in double.
@@ -287,7 +287,7 @@ def nearest_neighbours(
                 some = pdf.iloc[i : i + 4096]
                 units = _units(some["raw"], dimensions)
                 best, near = index.nearest(units, visits)
-                wanted = (near >= probe_share * near[:, :1]) | (np.arange(near.shape[1]) == 0)
+                wanted = (near >= probe_share * near[:, :1]) | (np.arange(near.shape[1]) < LEAST_PROBES)
                 codes = pack(quantiser.encode(units, index.centres[best[:, 0]].astype(np.float64)))
                 yield pd.DataFrame({"spot": some["spot"], "raw": some["raw"], "cell": best[:, 0], "cells": [b[w] for b, w in zip(best, wanted)], "code": [c.tobytes() for c in codes]})
 
