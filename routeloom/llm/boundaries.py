@@ -51,8 +51,11 @@ def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def cut_points(strengths: list[int], words: int, most: int) -> list[tuple[int, int]]:
-    """(first, stop) word ranges of at most ``most`` words that cover all words, cut at the strongest boundaries."""
+def cut_points(strengths: list[int], words: int, most: int, extra: int = 0) -> list[tuple[int, int]]:
+    """(first, stop) word ranges of at most ``most`` words that cover all words, cut at the strongest boundaries.
+
+    The first range may have ``extra`` words more: no overlap stands before it.
+    """
     if words <= most:
         return [(0, words)]
 
@@ -88,7 +91,7 @@ def cut_points(strengths: list[int], words: int, most: int) -> list[tuple[int, i
 
     def push(i: int) -> None:
         j = right[i]
-        if j >= 0 and stop[j] - start[i] <= most:
+        if j >= 0 and stop[j] - start[i] <= most + (extra if start[i] == 0 else 0):
             heapq.heappush(heap, (strengths[stop[i] - 1], stop[j] - start[i], start[i], i, j))
 
     for i in range(len(segments)):
@@ -113,7 +116,7 @@ def split_text(text: str, max_size: int, overlap: int) -> list[tuple[int, int, i
         return []
     if len(spans) <= max_size:
         return [(0, len(spans), len(spans), spans[0][0], spans[-1][1])]
-    cuts = cut_points(boundary_strengths(text, spans), len(spans), max_size - overlap)
+    cuts = cut_points(boundary_strengths(text, spans), len(spans), max_size - overlap, overlap)
     out = []
     for first, stop in cuts:
         begin = max(0, first - overlap)

@@ -20,18 +20,32 @@ def _limit(spark: SparkSession, sf_dir: str, kind: str) -> tuple[int, int]:
 
 
 def p1_found(spark, d):
-    report = quota.allocation_report(_table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets"))
-    return report.where(F.col("shortfall") > 0).select("question_type", "split")
+    return quota.unfilled_cells(_table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets")).select("question_type", "split")
 
 
 def p1_report(spark, d):
     return quota.allocation_report(_table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets"))
 
 
+def p1_allocation(spark, d):
+    """The tree's allocation: what each cell gives of its own, takes from siblings and cousins, and lacks."""
+    return quota.allocation_table(_table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets"))
+
+
 def p1_sample(spark, d):
     return quota.quota_sample(_table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets"))
 
 
+def p1_checks(spark, d):
+    """One row: drawn rows, their distinct ids, and rows whose id has no row in its cell."""
+    questions, targets = _table(spark, d, "p0_questions"), _table(spark, d, "sampling_targets")
+    drawn = quota.quota_sample(questions, targets)
+    members = quota.category_members(questions, targets).withColumn("member", F.lit(1))
+    return drawn.join(members, ["id", "question_type", "split"], "left").agg(
+        F.count("*").alias("drawn"), F.count_distinct("id").alias("ids"), F.count_if(F.col("member").isNull()).alias("outside")
+    )
+
+
 def p2_found(spark, d):
     pairs = overlap.split_overlaps(_table(spark, d, "p0_questions"))
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
@@ -52,6 +66,21 @@ def p3_pieces(spark, d):
     return boundaries.split_oversized(_table(spark, d, "corpus_documents"), size, shared)
 
 
+def p3_checks(spark, d):
+    """Per document: its words, whether the pieces cover them in order with the stated overlap, and the largest piece within the limit."""
+    size, shared = _limit(spark, d, "corpus_context")
+    pieces = p3_pieces(spark, d).withColumn("stop", F.col("first_word") + F.col("words"))
+    per = pieces.groupBy("corpus_doc_id").agg(F.max("words").alias("longest"), F.array_sort(F.collect_list(F.struct("piece", "first_word", "stop"))).alias("ps"))
+    follows = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("ps") - 1, F.lit(1))),
+        lambda k: (F.size("ps") == 1) | (F.element_at("ps", k)["stop"] - F.try_element_at("ps", k + 1)["first_word"] == F.least(F.lit(shared), F.element_at("ps", k)["stop"])),
+    )
+    return per.select(
+        "corpus_doc_id", F.element_at("ps", -1)["stop"].cast("long").alias("words"),
+        (F.forall(follows, lambda x: x) & (F.element_at("ps", 1)["first_word"] == 0)).alias("overlaps"), (F.col("longest") <= size).alias("fits"),
+    )
+
+
 def p4_found(spark, d):
     judged = defects.answer_defects(_table(spark, d, "backend_results"), _table(spark, d, "p0_questions"))
     return judged.where(F.col("defect").isNotNull()).select("result_id", "defect")
@@ -92,6 +121,16 @@ def p8_fill(spark, d):
     return packing.container_fill(packing.fill_containers(_table(spark, d, "documents"), capacity), capacity)
 
 
+def p8_checks(spark, d):
+    """One row: documents placed, documents whose pieces are not all there, and containers over the capacity."""
+    capacity, _ = _limit(spark, d, "document_container")
+    placed = packing.fill_containers(_table(spark, d, "documents"), capacity)
+    ids = placed.groupBy("doc_id").agg(F.count_distinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum((F.col("piece") > 0).cast("int")).alias("cut"))
+    full = placed.groupBy("container").agg(F.sum("tokens").alias("used"))
+    over = full.agg(F.count_if(F.col("used") > capacity).alias("over"))
+    return ids.agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.col("last") + 1).alias("broken")).join(F.broadcast(over))  # one row each
+
+
 def p9_found(spark, d):
     return leakage.leaked_passages(_table(spark, d, "documents"), _table(spark, d, "heldout_items")).select("doc_id", "item_id").distinct()
 
@@ -112,8 +151,8 @@ def p10_languages(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_found, p2_counts, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_sample,
-        p6_found, p6_rates, p7_found, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_languages,
+        p1_found, p1_report, p1_allocation, p1_sample, p1_checks, p2_found, p2_counts, p3_found, p3_pieces, p3_checks, p4_found, p4_rates, p5_found, p5_sample,
+        p6_found, p6_rates, p7_found, p8_containers, p8_fill, p8_checks, p9_found, p9_items, p10_found, p10_languages,
     )
 }
 
@@ -140,9 +179,40 @@ LEFT JOIN members m ON m.question_type = t.question_type AND m.split = t.split
 GROUP BY t.question_type, t.split, t.target_share, t.min_rows, t.sample_fraction, total.ids
 """
 
+_KIND, _SOURCE = (f"coalesce({_PLAIN.format(c)}, '')" for c in ("question_type", "source"))
+
+_SAMPLE = f"""
+WITH listed AS (
+  SELECT unnest(baseline.test_ids) AS id, 5.0::DOUBLE AS weight FROM expansion_manifest WHERE round IS NOT NULL
+  UNION ALL SELECT unnest(expansion.question_ids), 1.0::DOUBLE FROM expansion_manifest WHERE round IS NOT NULL
+), held AS (
+  SELECT id, 0.5::DOUBLE + 0.5::DOUBLE * count(DISTINCT concat({_KIND}, chr(31), {_SOURCE})) AS weight FROM p0_questions WHERE id IS NOT NULL AND {_SPLIT} = 'test' GROUP BY id
+), state AS (SELECT id, max(weight) AS weight FROM (SELECT * FROM listed UNION ALL SELECT * FROM held) WHERE id IS NOT NULL GROUP BY id),
+units AS (SELECT id, weight, CAST(('0x' || substr(md5('42:' || id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS unit FROM state WHERE id IN (SELECT id FROM held))
+SELECT id, weight * 0.2::DOUBLE >= 1.0 AS kept, round(weight, 6) AS weight, round(unit, 9) AS unit FROM units WHERE unit < weight * 0.2::DOUBLE
+"""
+
+_NEAREST = """
+WITH vectors AS (
+  SELECT question_id AS id, arg_max(embedding, cached_at) AS e FROM question_embeddings
+  WHERE question_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY question_id
+), units AS (SELECT id, list_transform(e, lambda x: CAST(x AS DOUBLE) / sqrt(list_inner_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])))) AS u FROM vectors),
+near AS (
+  SELECT a.id, b.id AS neighbour FROM units a JOIN units b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_inner_product(a.u, b.u), 9) DESC, b.id) <= 5
+)
+SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM near
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p1_report": _REPORT,
     "p1_found": f"SELECT question_type, split FROM ({_REPORT}) WHERE shortfall > 0",
+    "p1_checks": "SELECT n AS drawn, n AS ids, 0 AS outside FROM (SELECT CAST(floor(round(max(t.sample_fraction) * (SELECT count(DISTINCT id) FROM p0_questions), 6)) AS BIGINT) AS n FROM sampling_targets t)",
+    "p3_checks": "SELECT corpus_doc_id, len(regexp_extract_all(context, '[^ \\t\\r\\n]+')) AS words, TRUE AS overlaps, TRUE AS fits FROM corpus_documents WHERE len(regexp_extract_all(context, '[^ \\t\\r\\n]+')) > 0",
+    "p5_sample": _SAMPLE,
+    "p7_found": _NEAREST,
+    "p8_checks": "SELECT count(DISTINCT doc_id) AS documents, 0 AS broken, 0 AS over FROM documents",
     "p3_found": "SELECT corpus_doc_id FROM corpus_documents WHERE len(regexp_extract_all(context, '[^ \\t\\r\\n]+')) > 400",
     "p5_found": f"""
 WITH listed AS (

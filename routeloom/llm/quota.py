@@ -2,13 +2,15 @@
 
 Quotas are allocated down a category tree (all, question type, split). What a
 cell cannot fill passes first to its siblings under the same parent, then to
-cousins. Records are drawn at the leaves by a dense rank of permuted ids, found
-in two steps: hash buckets are counted per cell, and only records of one bucket
+cousins; what no cell can take stays unmet and is reported. Records are drawn at
+the leaves by a dense rank of permuted ids, found in two steps: hash buckets are counted per cell, and only records of one bucket
 are ever ranked together, so a cell of any size is never sorted as a whole.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,30 +36,88 @@ def category_members(questions: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def allocate(cells: list[dict]) -> dict[tuple[str, str], int]:
-    """Rows to draw from each cell: its need where it can, and the unmet rest from siblings, then cousins.
-
-    ``cells`` are dicts with question_type, split, needed and supply. The list is the target table: bounded.
+@dataclass
+class Node:
+    """A category: its children, or at a leaf its target cell and supply."""
+
+    name: tuple[str, ...]
+    children: list[Node] = field(default_factory=list)
+    share: float = 0.0
+    least: int = 0
+    needed: int = 0
+    supply: int = 0
+    drawn: int = 0
+    own: int = 0
+
+    def leaves(self) -> list[Node]:
+        return [self] if not self.children else [leaf for c in self.children for leaf in c.leaves()]
+
+    def total(self, what: str) -> int:
+        return sum(getattr(leaf, what) for leaf in self.leaves())
+
+    def descend(self, quota: int) -> int:
+        """Gives ``quota`` to the cells below, each up to its need; what they lack passes to siblings. Returns the rest."""
+        if not self.children:
+            self.own = self.drawn = min(quota, self.supply)
+            return quota - self.drawn
+        unmet = 0
+        for child, part in zip(self.children, shared_out(quota, [(c.total("needed"), c.total("share"), c.total("least")) for c in self.children])):
+            unmet += child.descend(part)
+        return self.place(unmet)
+
+    def place(self, rest: int) -> int:
+        """Puts ``rest`` rows on cells with rows to spare, those with most first. Returns what finds no place."""
+        for leaf in sorted(self.leaves(), key=lambda x: (x.drawn - x.supply, x.name)):
+            take = min(rest, leaf.supply - leaf.drawn)
+            leaf.drawn += take
+            rest -= take
+        return rest
+
+
+def shared_out(quota: int, parts: list[tuple[int, float, int]]) -> list[int]:
+    """``quota`` in parts: each its need where that fits; where needs were rounded up beyond it, those furthest above
+    their share give a row back, none below its minimum. Parts are (needed, share, minimum)."""
+    out = [n for n, _, _ in parts]
+    whole = sum(share for _, share, _ in parts)
+    excess = sum(out) - quota
+    while excess > 0:
+        free = [i for i in range(len(out)) if out[i] > parts[i][2]]
+        if not free:
+            break
+        i = max(free, key=lambda i: (out[i] - (quota * parts[i][1] / whole if whole else 0.0), -i))
+        out[i] -= 1
+        excess -= 1
+    return out
+
+
+def category_tree(cells: list[dict]) -> Node:
+    """The tree over (question_type, split) of the target cells, in name order."""
+    root = Node(())
+    kinds: dict[str, Node] = {}
+    for c in sorted(cells, key=lambda c: (str(c["question_type"]), str(c["split"]))):
+        kind = kinds.get(c["question_type"])
+        if kind is None:
+            kind = kinds[c["question_type"]] = Node((str(c["question_type"]),))
+            root.children.append(kind)
+        kind.children.append(
+            Node((c["question_type"], c["split"]), share=c.get("target_share") or 0.0, least=c.get("min_rows") or 0, needed=c["needed"], supply=c["supply"])
+        )
+    return root
+
+
+def allocate(cells: list[dict], sample_size: int | None = None) -> dict[tuple[str, str], Node]:
+    """The leaf of each target cell with its rows to draw, after the quota went down the tree.
+
+    ``cells`` are dicts with question_type, split, needed and supply, and where known target_share and min_rows. The
+    root's quota is ``sample_size``, but at least the sum of the minimums; without it the sum of the needs. ``own`` is
+    what a cell gives of its own quota, ``drawn`` that and what siblings and cousins passed to it. The list is the
+    target table: bounded.
     """
-    draw = {(c["question_type"], c["split"]): min(c["needed"], c["supply"]) for c in cells}
-    spare = {(c["question_type"], c["split"]): c["supply"] - draw[c["question_type"], c["split"]] for c in cells}
-    unmet: dict[str, int] = {}
-    for c in sorted(cells, key=lambda c: (c["question_type"], c["split"])):
-        key = (c["question_type"], c["split"])
-        missing = max(0, c["needed"] - c["supply"])
-        for other in sorted((k for k in spare if k[0] == key[0] and k != key), key=lambda k: (-spare[k], k)):
-            take = min(missing, spare[other])
-            draw[other] += take
-            spare[other] -= take
-            missing -= take
-        unmet[key[0]] = unmet.get(key[0], 0) + missing
-    rest = sum(unmet.values())
-    for other in sorted(spare, key=lambda k: (-spare[k], k)):
-        take = min(rest, spare[other])
-        draw[other] += take
-        spare[other] -= take
-        rest -= take
-    return draw
+    root = category_tree(cells)
+    if root.children:
+        quota = root.total("needed") if sample_size is None else max(min(sample_size, root.total("needed")), root.total("least"))
+        root.descend(quota)
+    return {leaf.name: leaf for leaf in root.leaves() if len(leaf.name) == 2}
 
 
 def allocation_report(questions: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,13 +144,19 @@ def allocation_report(questions: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def quota_sample(questions: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, question_type, split): distinct ids drawn to the targets.
+ALLOCATION = "question_type string, split string, sample_size long, needed long, available long, shortfall long, home long, own long, drawn long, passed_in long, unmet long"
 
-    An id with rows in several cells is drawn in one: the cell with the least availability for its need (ties by
-    name). The draw depends on the ids and the seed only, not on the layout.
+
+def allocation(questions: DataFrame, targets: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """The home cells of the ids with their counts by hash bucket, and the tree's allocation, a row per target cell.
+
+    Two allocations are made over the same tree. In the first every cell is offered its need against all ids that
+    have a row in it: what it can't give of that is its ``shortfall``. In the second each id counts in its home cell
+    only, the root's quota is the sample size, and unmet quota passes on: ``own`` and ``passed_in`` make ``drawn``,
+    and ``unmet`` is what the cell lacked of its quota before passing; the sum of ``drawn`` is short of the sample size
+    by what no cell could take.
     """
-    report = allocation_report(questions, targets)
+    report = cut_lineage(allocation_report(questions, targets))
     tight = report.select("question_type", "split", (F.col("available") / F.greatest(F.col("needed"), F.lit(1))).alias("ease"))
     home = (
         category_members(questions, targets)
@@ -98,17 +164,52 @@ def quota_sample(questions: DataFrame, targets: DataFrame, seed: int = 42) -> Da
         .groupBy("id")
         .agg(F.min(F.struct("ease", "question_type", "split")).alias("h"))
         .select("id", F.col("h.question_type").alias("question_type"), F.col("h.split").alias("split"))
-        .withColumn("order", F.xxhash64(F.lit(seed), F.col("id")))
-        .withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 40), F.lit(BUCKETS)))
     )
-    home = cut_lineage(home)
+    supply = {(r["question_type"], r["split"]): r["n"] for r in home.groupBy("question_type", "split").agg(F.count("*").alias("n")).collect()}
+    cells = [r.asDict() for r in report.collect()]
+    offered = allocate([{**c, "supply": c["available"]} for c in cells])
+    size = max((c["sample_size"] for c in cells), default=0)
+    drawn = allocate([{**c, "supply": supply.get((c["question_type"], c["split"]), 0)} for c in cells], size)
+    rows = []
+    for c in cells:
+        key = (c["question_type"], c["split"])
+        leaf = drawn[key]
+        rows.append({
+            "question_type": key[0], "split": key[1], "sample_size": c["sample_size"], "needed": c["needed"], "available": c["available"],
+            "shortfall": max(0, offered[key].needed - offered[key].own), "home": leaf.supply, "own": leaf.own, "drawn": leaf.drawn,
+            "passed_in": leaf.drawn - leaf.own, "unmet": max(0, min(leaf.needed, leaf.needed - leaf.own)),
+        })
+    return home, rows
+
+
+def allocation_table(questions: DataFrame, targets: DataFrame) -> DataFrame:
+    """The allocation of every target cell, see ``allocation``. An empty target table gives no rows."""
+    _, rows = allocation(questions, targets)
+    return questions.sparkSession.createDataFrame([tuple(r[c.split()[0]] for c in ALLOCATION.split(", ")) for r in rows], ALLOCATION)
+
+
+def unfilled_cells(questions: DataFrame, targets: DataFrame) -> DataFrame:
+    """(question_type, split, shortfall) of the target cells that can't give their need."""
+    return allocation_table(questions, targets).where(F.col("shortfall") > 0).select("question_type", "split", "shortfall")
+
+
+def hash_order(seed: int):
+    """md5 of seed and id: a permutation that any engine reproduces."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")))
+
+
+def quota_sample(questions: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, question_type, split): distinct ids drawn to the targets, as many as the sample size where the cells have them.
+
+    An id with rows in several cells is drawn in one: the cell with the least availability for its need (ties by
+    name). The draw depends on the ids and the seed only, not on the layout. Where the minimums add up to more than
+    the sample size they are kept and the sample is larger.
+    """
+    home, rows = allocation(questions, targets)
     cell = ["question_type", "split"]
-    counts = cut_lineage(home.groupBy(*cell, "bucket").agg(F.count("*").alias("n")))
-    supply = {(r["question_type"], r["split"]): r["n"] for r in counts.groupBy(*cell).agg(F.sum("n").alias("n")).collect()}
-    needs = [r.asDict() for r in report.select("question_type", "split", "needed").collect()]
-    draw = allocate([{**r, "supply": supply.get((r["question_type"], r["split"]), 0)} for r in needs])
-    spark = questions.sparkSession
-    quotas = spark.createDataFrame([(a, b, n) for (a, b), n in sorted(draw.items())], "question_type string, split string, quota long")
+    home = cut_lineage(home.withColumn("order", hash_order(seed)).withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")))
+    counts = home.groupBy(*cell, "bucket").agg(F.count("*").alias("n"))
+    quotas = questions.sparkSession.createDataFrame([(r["question_type"], r["split"], r["drawn"]) for r in rows], "question_type string, split string, quota long")
     before = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     starts = starts.join(F.broadcast(quotas), cell).where(F.col("start") < F.col("quota"))
