@@ -10,13 +10,18 @@
    other terms before j unshared; by Cauchy and Schwarz that mass is at most
    1 - t^2. A class is listed under just those pairs of terms, and under a
    single term only where its weight alone reaches t, so no pair is lost and
-   none meets on frequent terms alone. Exact dot products follow.
-3. An exact check compares what two classes don't share: a pair holds when all
-   of it pairs up as misspellings or asks nothing.
+   none meets on frequent terms alone. Lists carry the two weights, and the
+   norm, greatest weight and sum of the rest. Where two classes meet, their
+   partial product plus the lesser of the product of the residual norms and
+   the maximum-weight bound is the most their cosine can be; pairs below t are
+   dropped before their vectors are fetched. Exact dot products follow.
+3. An exact check compares what two classes at or above the threshold don't
+   share: a pair holds when all of it pairs up as misspellings.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +34,8 @@ from ..session import cut_lineage
 from .labels import split_name
 from .textforms import fold, words
 
-#: Least weighted cosine of a pair that is looked at; what holds is decided by the exact check.
-THRESHOLD = 0.85
+#: Least weighted cosine of a pair; of those at or above it the exact check keeps the ones whose rest is misspelling.
+THRESHOLD = 0.80
 
 # Words under one name.
 SYNONYMS = {
@@ -109,6 +114,10 @@ def _deletions(tokens: pd.Series) -> pd.Series:
     return tokens.map(of)
 
 
+#: Terms of a vocabulary or spelling table that are broadcast as a dictionary; larger ones are joined.
+BROADCAST_TERMS = 400_000
+
+
 def spelling_table(vocabulary: DataFrame) -> DataFrame:
     """(term, fixed): rare terms and the frequent term each misspells, from (term, n).
 
@@ -137,70 +146,123 @@ def spelling_table(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def question_classes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (class_id, id, split, source) and classes (class_id, terms array<struct<term,n>>, train, eval).
+def _small(table: DataFrame, most: int) -> list | None:
+    """The rows of a table of at most ``most`` rows; None when it has more."""
+    return table.collect() if table.limit(most + 1).count() <= most else None
+
+
+def _named(term: str) -> str:
+    return SYNONYMS.get(term, term)
+
 
-    Rows with a null question or without any word belong to no class.
+def term_sets(forms: DataFrame, fixes: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """``forms`` with ``terms``: the sorted distinct terms of ``raw`` as spelled right, under common names, without idle words.
+
+    Up to ``broadcast_terms`` misspellings are broadcast and looked up in place, without a shuffle; more are joined.
     """
-    base = (
-        questions.where(F.col("question").isNotNull())
-        .select("id", "split", "source", "question")
-        .withColumn("raw", _terms("question"))
-        .drop("question")
-        .where(F.size("raw") > 0)
-    )
-    forms = cut_lineage(base.withColumn("form", F.xxhash64(F.array_join("raw", " "))))
-    distinct = forms.groupBy("form").agg(F.first("raw").alias("raw"), F.count("*").alias("rows"))
-    tokens = distinct.select("form", F.explode("raw").alias("term"))
-    vocabulary = tokens.groupBy("term").agg(F.count("*").alias("n"))
-    fixes = spelling_table(vocabulary)
+    fixes = cut_lineage(fixes)
+    rows = _small(fixes, broadcast_terms)
+    if rows is not None:
+        shared = forms.sparkSession.sparkContext.broadcast({r["term"]: r["fixed"] for r in rows})
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def named(raw: pd.Series) -> pd.Series:
+            table = shared.value
+            return raw.map(lambda ts: sorted({n for t in ts if (n := _named(table.get(t, t))) not in IDLE}))
+
+        return forms.withColumn("terms", named("raw"))
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     idle = F.array(*[F.lit(w) for w in sorted(IDLE)])
-    named = (
-        tokens.join(fixes, "term", "left")
+    tokens = (
+        forms.select("form", F.explode("raw").alias("term"))
+        .join(fixes, "term", "left")
         .withColumn("term", F.coalesce("fixed", "term"))
         .withColumn("term", F.coalesce(F.element_at(synonyms, F.col("term")), F.col("term")))
         .where(~F.array_contains(idle, F.col("term")))
     )
-    sets = named.groupBy("form").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    sets = cut_lineage(sets.select("form", "terms", F.xxhash64(F.array_join("terms", " ")).alias("class_id")))
-    members = (
-        forms.select("form", "id", "split", "source")
-        .join(sets.select("form", "class_id"), "form")
-        .groupBy("class_id", "id", "split")
-        .agg(F.min("source").alias("source"))
+    return forms.join(tokens.groupBy("form").agg(F.sort_array(F.collect_set("term")).alias("terms")), "form")
+
+
+def question_classes(questions: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Members (class_id, id, split, source) and classes (class_id, terms, train, eval).
+
+    Rows with a null question or without any word that says something belong to no class. A class is named by the
+    md5 of its terms.
+    """
+    base = (
+        questions.where(F.col("question").isNotNull())
+        .select("id", "split", "source", "question")
+        .withColumn("raw", _terms("question"))
+        .drop("question")
+        .where(F.size("raw") > 0)
     )
-    sides = members.groupBy("class_id").agg(F.max((F.col("split") == "train").cast("int")).alias("train"), F.max((F.col("split") != "train").cast("int")).alias("eval"))
-    classes = sets.groupBy("class_id").agg(F.first("terms").alias("terms")).join(sides, "class_id")
+    rows = cut_lineage(base.withColumn("form", F.md5(F.array_join("raw", " "))))
+    forms = rows.groupBy("form").agg(F.first("raw").alias("raw"))
+    vocabulary = forms.select(F.explode("raw").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    named = term_sets(rows, spelling_table(cut_lineage(vocabulary)), broadcast_terms).where(F.size("terms") > 0)
+    named = cut_lineage(named.select("id", "split", "source", "terms", F.md5(F.array_join("terms", " ")).alias("class_id")))
+    members = named.groupBy("class_id", "id", "split").agg(F.min("source").alias("source"))
+    train = F.col("split") == "train"
+    classes = named.groupBy("class_id").agg(F.first("terms").alias("terms"), F.max(train.cast("int")).alias("train"), F.max((~train).cast("int")).alias("eval"))
     return members, classes
 
 
-def weighted_vectors(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, train, eval, v, keys): unit vectors in descending weight, and the keys of the lists they stand in."""
-    total = classes.agg(F.count("*").cast("double").alias("total"))
-    tokens = classes.select("class_id", F.explode("terms").alias("term"))
-    df = tokens.groupBy("term").agg(F.count("*").alias("n"))
-    weights = df.join(F.broadcast(total)).select(  # one row
-        "term", "n", F.when(F.col("n") > 1, F.log1p(F.col("total") / F.col("n"))).otherwise(F.lit(1.0)).alias("w")
-    )
-    vectors = (
-        tokens.join(weights, "term")
-        .groupBy("class_id")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("w"), F.col("term"), F.col("n"))), asc=False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    )
-    unit = F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"), x["n"].alias("n")))
-    vectors = vectors.select("class_id", unit.alias("v"))
-    keys = F.pandas_udf(lambda terms, w: pd.Series([list_keys(t, x, threshold) for t, x in zip(terms, w)]), T.ArrayType(T.StringType()))
-    vectors = vectors.withColumn("keys", keys(F.col("v.term"), F.col("v.w")))
-    return vectors.join(classes.select("class_id", "train", "eval"), "class_id")
+def unit_vector(terms: list[str], weights: list[float]) -> tuple[list[str], list[float]]:
+    """Terms and weights in descending weight (ties by term), at length one."""
+    length = math.sqrt(sum(w * w for w in weights)) or 1.0
+    order = sorted(range(len(terms)), key=lambda k: (-weights[k], terms[k]))
+    return [terms[k] for k in order], [weights[k] / length for k in order]
+
+
+VECTOR = "terms array<string>, w array<double>, n array<long>, lists array<struct<key:string,a:double,b:double,norm:double,most:double,total:double>>"
+
 
+def weighted_vectors(classes: DataFrame, threshold: float, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(class_id, train, eval, terms, w, n, lists): unit vectors in descending weight with their terms' frequencies, and
+    the lists a class stands in.
 
-def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[str]:
-    """Keys of the lists of a unit vector in descending weight: pairs of terms that can be a match's first two, and
-    single terms that alone can reach the threshold."""
+    Up to ``broadcast_terms`` terms their frequencies are broadcast and looked up in place; more are joined.
+    """
+    spark = classes.sparkSession
+    total = classes.count()
+    df = cut_lineage(classes.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    rows = _small(df, broadcast_terms)
+    if rows is not None:
+        shared = spark.sparkContext.broadcast({r["term"]: r["n"] for r in rows})
+        source = classes.select("class_id", "train", "eval", "terms", F.lit(None).cast("array<long>").alias("counts"))
+    else:
+        shared = None
+        pairs = classes.select("class_id", F.explode("terms").alias("term")).join(df, "term").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("p"))
+        source = classes.select("class_id", "train", "eval").join(pairs, "class_id").select("class_id", "train", "eval", F.col("p.term").alias("terms"), F.col("p.n").alias("counts"))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for class_id, train, held, terms, counts in pdf[["class_id", "train", "eval", "terms", "counts"]].itertuples(index=False, name=None):
+                known = dict(zip(terms, counts)) if shared is None else {t: shared.value[t] for t in terms}
+                # A term of one class can't be shared: it only lengthens the vector.
+                weights = [math.log1p(total / known[t]) if known[t] > 1 else 1.0 for t in terms]
+                terms, w = unit_vector(list(terms), weights)
+                out.append((class_id, train, held, terms, w, [int(known[t]) for t in terms], list_keys(terms, w, threshold)))
+            yield pd.DataFrame(out, columns=["class_id", "train", "eval", "terms", "w", "n", "lists"])
+
+    return source.mapInPandas(build, f"class_id string, train int, eval int, {VECTOR}")
+
+
+def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[tuple]:
+    """(key, first weight, second weight, norm, greatest weight and sum of the terms after them) of the lists of a unit
+    vector in descending weight: pairs of terms that can be a match's first two, and single terms that alone can reach
+    the threshold."""
     slack = 1.0 - threshold * threshold + 1e-9
     mass = [float(w) * float(w) for w in weights]
-    keys = [terms[i] for i in range(len(terms)) if mass[i] >= threshold * threshold - 1e-9]
+    after_mass, after_sum = [0.0] * (len(terms) + 1), [0.0] * (len(terms) + 1)
+    for k in range(len(terms) - 1, -1, -1):
+        after_mass[k], after_sum[k] = after_mass[k + 1] + mass[k], after_sum[k + 1] + float(weights[k])
+
+    def rest(k: int) -> tuple[float, float, float]:
+        return math.sqrt(after_mass[k]), float(weights[k]) if k < len(terms) else 0.0, after_sum[k]
+
+    keys = [(terms[i], float(weights[i]), 0.0, *rest(i + 1)) for i in range(len(terms)) if mass[i] >= threshold * threshold - 1e-9]
     before = 0.0  # mass before place i
     for i in range(len(terms)):
         if before > slack:
@@ -209,7 +271,7 @@ def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[
         for j in range(i + 1, len(terms)):
             if skipped > slack:
                 break
-            keys.append(terms[i] + " " + terms[j])
+            keys.append((terms[i] + " " + terms[j], float(weights[i]), float(weights[j]), *rest(j + 1)))
             skipped += mass[j]
         before += mass[i]
     return keys
@@ -218,7 +280,7 @@ def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[
 def same_question(a: dict[str, int], b: dict[str, int]) -> bool:
     """Exact check of two classes' terms with their frequencies: what they don't share must pair up as misspellings."""
     only_a, only_b = [t for t in a if t not in b], [t for t in b if t not in a]
-    if len(only_a) != len(only_b) or len(only_a) > 3:
+    if len(only_a) != len(only_b):
         return False
     for t in only_a:
         for k, u in enumerate(only_b):
@@ -232,24 +294,34 @@ def same_question(a: dict[str, int], b: dict[str, int]) -> bool:
 
 def similar_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     """(train_class, eval_class, cosine) of different classes between splits at or above the threshold, checked."""
-    listed = vectors.select("class_id", "train", "eval", F.explode("keys").alias("key")).withColumn("key", F.xxhash64("key"))
-    cols = lambda side, name: listed.where(F.col(side) == 1).select("key", F.col("class_id").alias(name))
-    candidates = cols("train", "x").join(cols("eval", "y"), "key").where(F.col("x") != F.col("y")).select("x", "y").distinct()
-    full = vectors.select("class_id", *[F.col(f"v.{f}").alias(f) for f in ("term", "w", "n")])
-    side = lambda c: full.select(F.col("class_id").alias(c), *[F.col(f).alias(f + c) for f in ("term", "w", "n")])
-    pairs = candidates.join(side("x"), "x").join(side("y"), "y")
+    listed = vectors.select("class_id", "train", "eval", F.explode("lists").alias("x")).select("class_id", "train", "eval", F.xxhash64("x.key").alias("key"), "x.a", "x.b", "x.norm", "x.most", "x.total")
+
+    def side(flag: str, name: str) -> DataFrame:
+        columns = [F.col(c).cast("float").alias(c + name) for c in ("a", "b", "norm", "most", "total")]
+        return listed.where(F.col(flag) == 1).select("key", F.col("class_id").alias(name), *columns)
+
+    # Exact for a pair's first two shared terms; on its other keys a pair may be dropped, but never under that one.
+    shared = F.col("ax") * F.col("ay") + F.col("bx") * F.col("by")
+    residual = F.col("normx") * F.col("normy")
+    heaviest = F.least(F.col("mostx") * F.col("totaly"), F.col("mosty") * F.col("totalx"))
+    bound = shared + F.least(residual, heaviest)
+    met = side("train", "x").join(side("eval", "y"), "key").where((F.col("x") != F.col("y")) & (bound >= threshold - 1e-5))
+    candidates = met.select("x", "y").distinct()
+    full = vectors.select("class_id", "terms", "w", "n")
+    of = lambda c: full.select(F.col("class_id").alias(c), *[F.col(f).alias(f + c) for f in ("terms", "w", "n")])
+    pairs = candidates.join(of("x"), "x").join(of("y"), "y")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for x, y, tx, wx, nx, ty, wy, ny in pdf[["x", "y", "termx", "wx", "nx", "termy", "wy", "ny"]].itertuples(index=False, name=None):
+            for x, y, tx, wx, nx, ty, wy, ny in pdf[["x", "y", "termsx", "wx", "nx", "termsy", "wy", "ny"]].itertuples(index=False, name=None):
                 other = dict(zip(ty, wy))
                 cosine = sum(w * other[t] for t, w in zip(tx, wx) if t in other)
                 if cosine >= threshold - 1e-9 and same_question(dict(zip(tx, nx)), dict(zip(ty, ny))):
                     rows.append((x, y, cosine))
             yield pd.DataFrame(rows, columns=["train_class", "eval_class", "cosine"])
 
-    return pairs.mapInPandas(judge, "train_class long, eval_class long, cosine double")
+    return pairs.mapInPandas(judge, "train_class string, eval_class string, cosine double")
 
 
 def split_overlaps(questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +340,7 @@ def split_overlaps(questions: DataFrame, threshold: float = THRESHOLD) -> DataFr
         (F.col("source").cast("string") if "source" in have else F.lit(None).cast("string")).alias("source"),
     ).where(F.col("id").isNotNull() & F.col("split").isin("train", "validation", "test"))
     members, classes = question_classes(rows)
-    members = cut_lineage(members)
+    members, classes = cut_lineage(members), cut_lineage(classes)
     vectors = cut_lineage(weighted_vectors(classes, threshold))
     links = similar_classes(vectors, threshold)
     own = classes.where((F.col("train") == 1) & (F.col("eval") == 1)).select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"), F.lit(1.0).alias("cosine"))
