@@ -24,13 +24,14 @@ def harmonic(a: Column, b: Column) -> Column:
     return F.when(a + b > 0, 2 * a * b / (a + b)).otherwise(F.lit(0.0))
 
 
+# Names and formulas of the utilities that a configuration can name.
 UTILITIES = {
     "harmonic": harmonic,
     "geometric": lambda a, b: F.sqrt(a * b),
     "minimum": lambda a, b: F.least(a, b),
     "mean": lambda a, b: (a + b) / 2,
-    "answer_75": lambda a, b: 0.75 * a + 0.25 * b,
-    "answer_60": lambda a, b: 0.60 * a + 0.40 * b,
+    "ac75_er25": lambda a, b: 0.75 * a + 0.25 * b,
+    "ac60_er40": lambda a, b: 0.60 * a + 0.40 * b,
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 # Words that carry no content in evidence and answers.
@@ -12,6 +14,7 @@ STOPWORDS = (
     "how when where who whom whose does do did has have had from at by as that this these "
     "those it its patient patients"
 ).split()
+# Words and marks that end a clause of a question.
 CLAUSE_PATTERN = r"\b(?:and|with|while|versus|compared to|because|if)\b|[,;?]"
 
 
@@ -24,6 +27,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """Each word with what stands between it and the next one."""
+    return F.regexp_extract_all(text, F.lit(WORD_PATTERN + r"[^\p{L}\p{N}_]*"), F.lit(0))
+
+
+def word_slice(pieces: Column, first: Column, count: int) -> Column:
+    """The text from the first word's start to the last word's end of ``count`` pieces of ``spaced_words`` from place ``first`` on."""
+    part = F.slice(pieces, first, count)
+    return F.concat(F.array_join(F.slice(part, 1, F.size(part) - 1), ""), F.regexp_extract(F.element_at(part, -1), WORD_PATTERN, 0))
+
+
 def whitespace_word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
 
@@ -43,24 +57,35 @@ def split_evidence(text: Column) -> Column:
     return non_empty(F.split(text, ";"))
 
 
-def split_evidence_nested(text: Column) -> Column:
-    """Statements between semicolons outside any bracket; an unmatched closing bracket counts for nothing.
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+
 
-    The fold reads the characters once; depth is kept for round, square and curly brackets together.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("part"), F.lit(0).alias("depth"))
+def nested_statements(text: str) -> list[str]:
+    """Statements between semicolons at depth zero of round, square and curly brackets, each counted by itself; a closing
+    bracket without its opening one counts for nothing. One pass over the characters."""
+    depth = dict.fromkeys("([{", 0)
+    parts, start = [], 0
+    for i, ch in enumerate(text):
+        if ch in depth:
+            depth[ch] += 1
+        elif ch in _PAIRS:
+            depth[_PAIRS[ch]] = max(0, depth[_PAIRS[ch]] - 1)
+        elif ch == ";" and not any(depth.values()):
+            parts.append(text[start:i])
+            start = i + 1
+    parts.append(text[start:])
+    return [p.strip(" ") for p in parts if p.strip(" ")]
 
-    def step(acc: Column, ch: Column) -> Column:
-        opening, closing = ch.isin("(", "[", "{"), ch.isin(")", "]", "}")
-        depth = F.when(opening, acc["depth"] + 1).when(closing, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        cut = (ch == ";") & (acc["depth"] == 0)
-        return F.struct(
-            F.when(cut, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"),
-            F.when(cut, F.lit("")).otherwise(F.concat(acc["part"], ch)).alias("part"),
-            depth.alias("depth"),
-        )
 
-    return non_empty(F.aggregate(F.split(text, ""), start, step, lambda acc: F.concat(acc["parts"], F.array(acc["part"]))))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nested(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: nested_statements(t) if isinstance(t, str) else None)
+
+
+def split_evidence_nested(text: Column) -> Column:
+    """Statements between semicolons outside any bracket. Only texts with an opening bracket leave the JVM."""
+    bracketed = text.rlike(r"[(\[{]")
+    return F.when(bracketed, _nested(F.when(bracketed, text))).otherwise(split_evidence(text))
 
 
 def normal_evidence(text: Column) -> Column:
@@ -86,9 +111,10 @@ def statement_recall(statement: Column, context: Column) -> Column:
 
 
 def render_contexts(contexts: Column, most_words: int) -> Column:
-    """Numbered contexts joined by blank lines, cut after so many words."""
+    """Numbered contexts joined by blank lines, layout kept, cut after so many words."""
     text = F.array_join(F.transform(contexts, lambda x, i: F.concat(F.lit("[Context "), (i + 1).cast("string"), F.lit("]\n"), x)), "\n\n")
-    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda x: x != ""), 1, most_words), " ")
+    pieces = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
+    return F.array_join(F.slice(pieces, 1, most_words), "")
 
 
 def prefixed_id(prefix: str, text: Column) -> Column:
@@ -111,17 +137,29 @@ def capped(text: Column, most: int = 100_000) -> Column:
 
 
 # Stable codes by what an error's name holds; the first that fits counts.
-ERROR_CODES = (("timeout", "LLM_TIMEOUT"), ("authentication", "LLM_AUTH_FAILED"), ("permission", "LLM_AUTH_FAILED"), ("ratelimit", "LLM_RATE_LIMITED"))
+ERROR_CODES = (
+    ("timeout", "LLM_TIMEOUT"), ("authentication", "LLM_AUTH_FAILED"), ("permission", "LLM_AUTH_FAILED"), ("ratelimit", "LLM_RATE_LIMITED"), ("rate_limit", "LLM_RATE_LIMITED"),
+)
 
 
-def error_code(name: Column) -> Column:
-    """Stable code of an error by its name; QUERY_FAILED for any other."""
-    code = F.lit("QUERY_FAILED")
+def error_code(name: Column, fallback: str = "QUERY_FAILED") -> Column:
+    """Stable code of an error by its name; ``fallback`` for any other (an adapter has its own)."""
+    code = F.lit(fallback)
     for part, value in reversed(ERROR_CODES):
         code = F.when(F.lower(name).contains(part), value).otherwise(code)
     return code
 
 
+def iso_utc(stamp: Column) -> Column:
+    """ISO 8601 to the second in UTC; the session's time zone is UTC."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def backup_stamp(stamp: Column) -> Column:
+    """A stamp for names of backups."""
+    return F.date_format(stamp, "yyyyMMdd'T'HHmmss'Z'")
+
+
 def plain_url(url: Column) -> Column:
     """Whether an address is http(s) with a host and without credentials, query or fragment."""
     return url.rlike(r"^https?://[^/@?#\s]+(?:/[^?#\s]*)?$")

@@ -32,7 +32,6 @@ def gram_sums(rows: DataFrame, features: str, targets: list[str], fold: str | No
 
     parts = rows.select(*cols).mapInPandas(part, "fold int, m array<double>, n long")
     total = parts.select("fold", F.posexplode("m").alias("i", "x"), "n").groupBy("fold", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    width = int(round(max((r["i"] for r in total), default=0) ** 0.5)) + 1
     width = int((max((r["i"] for r in total), default=-1) + 1) ** 0.5 + 0.5)
     out = {}
     for r in total:

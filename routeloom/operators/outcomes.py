@@ -30,13 +30,15 @@ def silver_cheapest(outcomes: DataFrame, threshold: float = 0.60, margin: float
     """(question_id, silver_label, all_failed): the cheapest method that is good enough and near the best.
 
     Good enough: correctness at the threshold and within the margin of the best. Cheapest: tokens, then time, then
-    cost order. With none, the best by correctness, recall and fewest tokens, and all_failed.
+    cost order. With none, the best by correctness, overlap with the reference (rouge_l, where there is such a
+    column), recall and fewest tokens, and all_failed.
     One aggregation per question: no window, no second shuffle.
     """
+    rouge = F.round("rouge_l", 6) if "rouge_l" in outcomes.columns else F.lit(0.0)
     facts = outcomes.select(
         "question_id",
         F.struct(
-            F.round("answer_correctness", 6).alias("ac"), F.round("evidence_recall", 6).alias("er"), tokens().alias("tok"), F.col("total_time_ms").alias("ms"),
+            F.round("answer_correctness", 6).alias("ac"), F.round("evidence_recall", 6).alias("er"), rouge.alias("rouge"), tokens().alias("tok"), F.col("total_time_ms").alias("ms"),
             S.method_rank(F.col("method")).alias("o"), "method",
         ).alias("f"),
     )
@@ -48,7 +50,7 @@ def silver_cheapest(outcomes: DataFrame, threshold: float = 0.60, margin: float
         F.when(
             F.size("ok") > 0,
             F.array_min(F.transform("ok", lambda f: F.struct(f["tok"], f["ms"], f["o"], f["method"].alias("m"))))["m"],
-        ).otherwise(F.array_max(F.transform("fs", lambda f: F.struct(f["ac"], f["er"], (-f["tok"]).alias("t"), (-f["o"]).alias("o"), f["method"].alias("m"))))["m"]).alias("silver_label"),
+        ).otherwise(F.array_max(F.transform("fs", lambda f: F.struct(f["ac"], f["rouge"], f["er"], (-f["tok"]).alias("t"), (-f["o"]).alias("o"), f["method"].alias("m"))))["m"]).alias("silver_label"),
         (F.size("ok") == 0).alias("all_failed"),
     )
 
@@ -100,6 +102,7 @@ def policy_summary(outcomes: DataFrame, choices: DataFrame, by: list[str] | None
         F.count("*").alias("n"),
         F.round(F.avg("answer_correctness"), 6).alias("answer_correctness"),
         F.round(F.avg("evidence_recall"), 6).alias("evidence_recall"),
+        *([F.round(F.avg("rouge_l"), 6).alias("rouge_l")] if "rouge_l" in outcomes.columns else []),
         F.round(F.avg("input_tokens"), 4).alias("input_tokens"),
         F.round(F.avg("output_tokens"), 4).alias("output_tokens"),
         F.round(F.avg("total_time_ms"), 4).alias("total_time_ms"),

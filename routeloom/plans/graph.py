@@ -155,8 +155,9 @@ def induced_edges(spark, d):
 
 
 def hit_merge(spark, d):
-    """Edges and how many of them each method's results mention, in either direction."""
-    pairs = _relations(spark, d).select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    """Edges of the whole graph by whether results of one method mention them, in either direction."""
+    some = table(spark, d, "backend_results").where(F.col("method") == "lightrag")
+    pairs = some.select(F.explode("relations").alias("r")).select(F.col("r")["tgt_id"].alias("a"), F.col("r")["src_id"].alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
     return graphs.mark_hits(_edges(spark, d), pairs, directed=False).groupBy("hit").agg(F.count("*").alias("edges"))
 
 
@@ -264,7 +265,9 @@ WITH {_KG}, kinds AS (SELECT node, min(kind) AS kind FROM ents GROUP BY node)
 SELECT node, kind, dense_rank() OVER (ORDER BY kind) AS palette, coalesce(degree, 0) AS degree, round(5 + least(22.0, 1.8 * sqrt(coalesce(degree, 0))), 6) AS size FROM kinds LEFT JOIN deg USING (node)""",
     "graph_related": f"WITH {_RELATED} SELECT node, is_seed, place FROM related",
     "induced_edges": f"WITH {_RELATED} SELECT a AS src, b AS dst FROM merged WHERE a IN (SELECT node FROM related) AND b IN (SELECT node FROM related)",
-    "hit_merge": f"WITH {_KG} SELECT TRUE AS hit, count(*) AS edges FROM merged HAVING count(*) > 0",
+    "hit_merge": f"""
+WITH {_KG}, h AS (SELECT unnest(relations) AS r FROM backend_results WHERE method = 'lightrag'), hits AS (SELECT DISTINCT least(r['src_id'], r['tgt_id']) AS a, greatest(r['src_id'], r['tgt_id']) AS b FROM h)
+SELECT m.a IN (SELECT a FROM hits) AND EXISTS (SELECT 1 FROM hits h WHERE h.a = m.a AND h.b = m.b) AS hit, count(*) AS edges FROM merged m GROUP BY 1""",
     "verified_path_edges": f"""
 WITH {_KG}, {_PATHS}
 SELECT path_id, pos, src, path[pos + 2] AS dst FROM path_nodes WHERE pos + 1 < len(path) AND EXISTS (SELECT 1 FROM merged m WHERE (m.a = src AND m.b = path[pos + 2]) OR (m.b = src AND m.a = path[pos + 2]))""",

@@ -200,7 +200,7 @@ choices AS (
 )"""
 _ALL = f"WITH {OUTCOMES_SQL}, {_S}, {_FIXED}, {_CLASSES}, {_CHOICES}"
 _LABELS = f"{_ALL}, labels AS (SELECT s.question_id, s.silver_label AS truth, f.silver_label AS prediction, c.weight FROM silver s JOIN fixed f USING (question_id) JOIN classes c USING (question_id)), names AS (SELECT unnest(['vector','lightrag','pathrag']) AS label)"
-_MEANS = "count(*) AS n, round(avg(answer_correctness), 6) AS answer_correctness, round(avg(evidence_recall), 6) AS evidence_recall, round(avg(input_tokens), 4) AS input_tokens, round(avg(output_tokens), 4) AS output_tokens, round(avg(total_time_ms), 4) AS total_time_ms"
+_MEANS = "count(*) AS n, round(avg(answer_correctness), 6) AS answer_correctness, round(avg(evidence_recall), 6) AS evidence_recall, round(avg(rouge_l), 6) AS rouge_l, round(avg(input_tokens), 4) AS input_tokens, round(avg(output_tokens), 4) AS output_tokens, round(avg(total_time_ms), 4) AS total_time_ms"
 _PAIR = "pair AS (SELECT question_id, max(CASE WHEN method = 'lightrag' THEN answer_correctness END) - max(CASE WHEN method = 'vector' THEN answer_correctness END) AS d FROM outcomes GROUP BY question_id)"
 _CLIP = "least(greatest({}, 0.0), 1.0)"
 _UTIL = f"round({_CLIP.format('answer_correctness')} + {{lam}} * {_CLIP.format('evidence_recall')}, 6)"
@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "weight_counts": f"{_ALL} SELECT coalesce(o_orderstatus, 'all') AS split, category, count(*) AS n FROM classes JOIN orders ON o_orderkey = question_id GROUP BY GROUPING SETS ((o_orderstatus, category), (category))",
     "utility_scores": f"""WITH {OUTCOMES_SQL}, x AS (SELECT question_id, method, {_CLIP.format('answer_correctness')} AS a, {_CLIP.format('evidence_recall')} AS e FROM outcomes)
 SELECT question_id, method, round(CASE WHEN a + e > 0 THEN 2 * a * e / (a + e) ELSE 0 END, 6) AS harmonic, round(sqrt(a * e), 6) AS geometric, round(least(a, e), 6) AS minimum, round((a + e) / 2, 6) AS mean,
-  round(0.75::DOUBLE * a + 0.25::DOUBLE * e, 6) AS answer_75, round(0.60::DOUBLE * a + 0.40::DOUBLE * e, 6) AS answer_60 FROM x""",
+  round(0.75::DOUBLE * a + 0.25::DOUBLE * e, 6) AS ac75_er25, round(0.60::DOUBLE * a + 0.40::DOUBLE * e, 6) AS ac60_er40 FROM x""",
     "utility_route": f"WITH {OUTCOMES_SQL} SELECT question_id, method FROM outcomes QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY {_UTIL.format(lam='0.15::DOUBLE')} DESC, o) = 1",
     "cheapest_within_tol": f"""WITH {OUTCOMES_SQL}, s AS (SELECT question_id, method, o, round(answer_correctness * 0.5 + evidence_recall * 0.5, 6) AS s FROM outcomes), b AS (SELECT *, max(s) OVER (PARTITION BY question_id) AS best FROM s)
 SELECT question_id, method FROM b WHERE s >= round(best - 0.02::DOUBLE, 6) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY o) = 1""",

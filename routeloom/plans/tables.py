@@ -24,6 +24,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(m) for m in METHODS]), F.col("rn")).alias("method"),
         F.round(F.col("l_discount") * 10, 6).alias("answer_correctness"),
         F.round(F.col("l_tax") * 12.5, 6).alias("evidence_recall"),
+        F.round((F.col("l_partkey") % 101) / F.lit(100.0), 6).alias("rouge_l"),
         F.col("l_extendedprice").alias("input_tokens"),
         F.col("l_quantity").alias("output_tokens"),
         F.col("l_partkey").alias("total_time_ms"),
@@ -36,7 +37,7 @@ ranked AS (
          count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
 ), outcomes AS (
   SELECT l_orderkey AS question_id, CASE rn WHEN 1 THEN 'vector' WHEN 2 THEN 'lightrag' ELSE 'pathrag' END AS method, rn - 1 AS o,
-         round(l_discount * 10, 6) AS answer_correctness, round(l_tax * 12.5, 6) AS evidence_recall,
+         round(l_discount * 10, 6) AS answer_correctness, round(l_tax * 12.5, 6) AS evidence_recall, round((l_partkey % 101) / 100.0::DOUBLE, 6) AS rouge_l,
          l_extendedprice AS input_tokens, l_quantity AS output_tokens, l_partkey AS total_time_ms
   FROM ranked WHERE n >= 3 AND rn <= 3
 )"""
@@ -50,7 +51,7 @@ eligible AS (
 silver AS (
   SELECT q.question_id,
     coalesce((SELECT method FROM (SELECT question_id, method, row_number() OVER (PARTITION BY question_id ORDER BY input_tokens + output_tokens, total_time_ms, o) AS r FROM eligible) e WHERE e.question_id = q.question_id AND r = 1),
-      (SELECT method FROM (SELECT question_id, method, row_number() OVER (PARTITION BY question_id ORDER BY answer_correctness DESC, evidence_recall DESC, input_tokens + output_tokens, o) AS r FROM outcomes) f WHERE f.question_id = q.question_id AND r = 1)) AS silver_label,
+      (SELECT method FROM (SELECT question_id, method, row_number() OVER (PARTITION BY question_id ORDER BY answer_correctness DESC, rouge_l DESC, evidence_recall DESC, input_tokens + output_tokens, o) AS r FROM outcomes) f WHERE f.question_id = q.question_id AND r = 1)) AS silver_label,
     NOT EXISTS (SELECT 1 FROM eligible e WHERE e.question_id = q.question_id) AS all_failed
   FROM best q
 )"""

@@ -10,6 +10,8 @@ from ..operators import checks, chunking, lexical
 from .tables import table
 
 SIZE, OVERLAP, TOP = 180, 40, 3
+#: Chunk ids of a document: no text that fits a string has so many chunks.
+CHUNKS = 1 << 24
 
 
 def word_chunks(spark, d):
@@ -58,6 +60,18 @@ def evidence_nested(spark, d):
     return q.select("id", F.size(X.split_evidence_nested(F.col("evidence"))).alias("statements"))
 
 
+#: Texts whose semicolons stand in and outside brackets of three kinds, closed, unclosed and without partner.
+NESTED = (
+    "t(11;22) translocation.; A second statement.", "a; b ;; c", "a (x; y) b; c [d; e]; f", "a (x] ; b; c) tail; last", "{a; b; c", "a) ; b] ; c } ; d", "((a; b); c); d", "( [ ; ) ; ] ; x", "",
+)
+
+
+def evidence_nested_cases(spark, d):
+    """Statements of inline texts with brackets of all kinds."""
+    cases = spark.createDataFrame(list(enumerate(NESTED)), "id int, evidence string")
+    return cases.select("id", F.posexplode(X.split_evidence_nested(F.col("evidence"))).alias("pos", "statement"))
+
+
 def evidence_normal(spark, d):
     q = table(spark, d, "p0_questions").where(F.col("evidence").isNotNull())
     return q.select(F.md5(X.normal_evidence(F.col("evidence"))).alias("normal_md5")).groupBy("normal_md5").agg(F.count("*").alias("n"))
@@ -86,7 +100,7 @@ def context_cap(spark, d):
 
 def _chunks(spark, d):
     c = chunking.word_chunks(table(spark, d, "documents"), size=SIZE, overlap=OVERLAP)
-    return c.select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("chunk_id"), "chunk")
+    return c.select((F.col("doc_id") * CHUNKS + F.col("chunk_no")).alias("chunk_id"), "chunk")
 
 
 def tfidf_profile(spark, d):
@@ -124,8 +138,8 @@ def extractive_answer(spark, d):
     queries = lexical.query_vectors(items, vocab, "item_id", "text")
     top = lexical.top_k(lexical.similarities(queries, postings, "item_id", "chunk_id"), "item_id", "chunk_id", TOP)
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
-    near = top.select("item_id", F.floor(F.col("chunk_id") / 1000).alias("doc_id")).distinct().join(docs, "doc_id")
-    near = near.withColumn("sid", F.xxhash64("doc_id", "pos"))
+    near = top.select("item_id", F.shiftright("chunk_id", 24).alias("doc_id")).distinct().join(docs, "doc_id")
+    near = near.withColumn("sid", F.col("doc_id") * CHUNKS + F.col("pos"))
     weights = lexical.query_vectors(near.select("sid", "sentence").distinct(), vocab, "sid", "sentence")
     dots = near.select("item_id", "sid").distinct().join(weights, "sid").join(queries.select("item_id", "term", F.col("weight").alias("qw")), ["item_id", "term"])
     scored = dots.groupBy("item_id", "sid").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
@@ -165,7 +179,7 @@ def exact_text_match(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        word_chunks, tail_windows, content_terms, sentence_split, clause_split, doc_stats, shortest_doc, evidence_statements, evidence_nested, evidence_normal,
+        word_chunks, tail_windows, content_terms, sentence_split, clause_split, doc_stats, shortest_doc, evidence_statements, evidence_nested, evidence_nested_cases, evidence_normal,
         corpus_fingerprints, document_ids, context_render, context_cap, tfidf_profile, lexical_topk, evidence_coverage, extractive_answer, evidence_scores, rouge_l, exact_text_match,
     )
 }
@@ -186,7 +200,7 @@ _CHUNKS = f"""
 w AS (SELECT doc_id, regexp_extract_all(text, {_W}) AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(generate_series(0, CAST(CASE WHEN len(w) <= {SIZE} THEN 0 ELSE ceil((len(w) - {SIZE}) / {SIZE - OVERLAP}.0) END AS BIGINT))) AS chunk_no FROM w WHERE len(w) > 0),
 chunks AS (SELECT doc_id, chunk_no, chunk_no * {SIZE - OVERLAP} AS start_word, list_slice(w, chunk_no * {SIZE - OVERLAP} + 1, chunk_no * {SIZE - OVERLAP} + {SIZE}) AS p,
-  doc_id * 1000 + chunk_no AS chunk_id FROM c)"""
+  doc_id * {CHUNKS} + chunk_no AS chunk_id FROM c)"""
 _POSTINGS = f"""{_CHUNKS},
 tok AS (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(array_to_string(p, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))) AS term FROM chunks),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -203,7 +217,9 @@ sims AS (SELECT item_id, chunk_id, round(sum(qw * weight), 6) AS score FROM q JO
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= {TOP})"""
 
 ORACLE_SQL = {
-    "word_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, start_word, len(p) AS n_words, md5(array_to_string(p, ' ')) AS chunk_md5 FROM chunks",
+    "word_chunks": f"""WITH {_CHUNKS}, marked AS (SELECT doc_id, list_slice(string_split(regexp_replace(text, '(' || {_W} || ')', chr(1) || '\\1', 'g'), chr(1)), 2, 1000000000) AS s FROM documents),
+cut AS (SELECT doc_id, chunk_no, start_word, len(p) AS n_words, array_to_string(list_slice(s, start_word + 1, start_word + len(p)), '') AS t FROM chunks JOIN marked USING (doc_id))
+SELECT doc_id, chunk_no, start_word, n_words, md5(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]+$', '')) AS chunk_md5 FROM cut""",
     "tail_windows": f"""
 WITH w AS (SELECT corpus_doc_id, len(regexp_extract_all(context, {_W})) AS n FROM corpus_documents),
 c AS (SELECT corpus_doc_id, n, unnest(generate_series(0, CAST(floor((n - 1) / 110.0) AS BIGINT))) AS k FROM w WHERE n > 0)
@@ -221,12 +237,24 @@ SELECT item_id, unnest(generate_series(0, len(s) - 1)) AS pos, unnest(s) AS clau
     "shortest_doc": "SELECT doc_id, length(text) AS characters FROM documents WHERE text IS NOT NULL ORDER BY characters, doc_id LIMIT 1",
     "evidence_statements": f"SELECT statement, count(*) AS n FROM (SELECT unnest({_parts('evidence')}) AS statement FROM p0_questions) GROUP BY statement",
     "evidence_nested": f"SELECT id, len({_parts('evidence')}) AS statements FROM (SELECT id, max(evidence) AS evidence FROM p0_questions WHERE evidence IS NOT NULL GROUP BY id)",
+    "evidence_nested_cases": f"""
+WITH RECURSIVE cases AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(NESTED))}) v(id, t)),
+walk(id, t, i, a, b, c, part, parts) AS (
+  SELECT id, t, 0, 0, 0, 0, '', CAST([] AS VARCHAR[]) FROM cases
+  UNION ALL
+  SELECT id, t, i + 1,
+    CASE t[i + 1] WHEN '(' THEN a + 1 WHEN ')' THEN greatest(a - 1, 0) ELSE a END, CASE t[i + 1] WHEN '[' THEN b + 1 WHEN ']' THEN greatest(b - 1, 0) ELSE b END,
+    CASE t[i + 1] WHEN '{{' THEN c + 1 WHEN '}}' THEN greatest(c - 1, 0) ELSE c END,
+    CASE WHEN t[i + 1] = ';' AND a + b + c = 0 THEN '' ELSE part || t[i + 1] END, CASE WHEN t[i + 1] = ';' AND a + b + c = 0 THEN list_append(parts, part) ELSE parts END
+  FROM walk WHERE i < length(t)
+), done AS (SELECT id, list_filter(list_transform(list_append(parts, part), lambda x: trim(x)), lambda x: x <> '') AS s FROM walk WHERE i = length(t))
+SELECT id, unnest(generate_series(0, len(s) - 1)) AS pos, unnest(s) AS statement FROM done""",
     "evidence_normal": r"SELECT md5(lower(replace(regexp_replace(evidence, '\s+', '', 'g'), ';', ','))) AS normal_md5, count(*) AS n FROM p0_questions WHERE evidence IS NOT NULL GROUP BY 1",
     "corpus_fingerprints": "SELECT corpus_doc_id, sha256(concat(coalesce(subset, ''), chr(0), corpus_name, chr(0), context, chr(0))) AS fingerprint FROM corpus_documents WHERE context IS NOT NULL",
     "document_ids": "SELECT concat('doc-', md5(text)) AS text_id, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1",
     "context_render": r"""
 WITH r AS (SELECT result_id, array_to_string(list_transform(contexts, lambda x, i: concat('[Context ', i, ']', chr(10), x)), chr(10) || chr(10)) AS t FROM backend_results WHERE len(contexts) > 0)
-SELECT result_id, md5(array_to_string(list_slice(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> ''), 1, 200), ' ')) AS rendered_md5 FROM r""",
+SELECT result_id, md5(regexp_extract(t, '^(?:\s*\S+){1,200}')) AS rendered_md5 FROM r""",
     "context_cap": "SELECT result_id, least(length(t), 300) AS characters, length(t) > 300 AS truncated FROM (SELECT result_id, coalesce(array_to_string(contexts, chr(10) || chr(10)), '') AS t FROM backend_results WHERE contexts IS NOT NULL)",
     "tfidf_profile": f"WITH {_POSTINGS} SELECT chunk_id, count(*) AS n_terms, round(max(weight), 6) AS top_weight, round(sum(weight * weight), 6) AS length FROM postings GROUP BY chunk_id",
     "lexical_topk": f"WITH {_TOPK} SELECT item_id, chunk_id, score, rank FROM top",
