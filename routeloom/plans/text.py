@@ -103,17 +103,30 @@ def _chunks(spark, d):
     return c.select((F.col("doc_id") * CHUNKS + F.col("chunk_no")).alias("chunk_id"), "chunk")
 
 
+def _index(spark, d):
+    """(vocabulary, vectors) of the chunks."""
+    chunks = _chunks(spark, d)
+    vocab = lexical.build_vocabulary(chunks, "chunk_id", "chunk")
+    return vocab, lexical.sparse_vectors(chunks, vocab, "chunk_id", "chunk")
+
+
 def tfidf_profile(spark, d):
-    postings, _ = lexical.index_texts(_chunks(spark, d), "chunk_id", "chunk")
-    return postings.groupBy("chunk_id").agg(
-        F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("length")
-    )
+    _, vectors = _index(spark, d)
+    squares = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x * x)
+    return vectors.where(F.size("places") > 0).select("chunk_id", F.size("places").cast("long").alias("n_terms"), F.round(F.array_max("weights"), 6).alias("top_weight"), F.round(squares, 6).alias("length"))
+
+
+def tfidf_postings(spark, d):
+    """The same index as postings, with bigrams: terms per length and the greatest weight of a text."""
+    docs = table(spark, d, "heldout_items")
+    postings, _ = lexical.index_texts(docs, "item_id", "text", bigrams=True)
+    return postings.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.count_if(F.col("term").contains(" ")).alias("n_bigrams"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
 def _topk(spark, d, k=TOP):
-    postings, vocab = lexical.index_texts(_chunks(spark, d), "chunk_id", "chunk")
-    queries = lexical.query_vectors(table(spark, d, "heldout_items"), vocab, "item_id", "text")
-    return lexical.top_k(lexical.similarities(queries, postings, "item_id", "chunk_id"), "item_id", "chunk_id", k)
+    vocab, vectors = _index(spark, d)
+    queries = lexical.sparse_vectors(table(spark, d, "heldout_items"), vocab, "item_id", "text")
+    return lexical.sparse_top_k(vectors, queries, "chunk_id", "item_id", k)
 
 
 def lexical_topk(spark, d):
@@ -131,19 +144,19 @@ def evidence_coverage(spark, d):
 
 
 def extractive_answer(spark, d):
-    """The two sentences of an item's top chunks closest to it, joined by score."""
-    chunks = _chunks(spark, d)
-    postings, vocab = lexical.index_texts(chunks, "chunk_id", "chunk")
+    """The two sentences of an item's top chunks' documents closest to it, joined by score; ties to the earlier sentence."""
+    vocab, vectors = _index(spark, d)
     items = table(spark, d, "heldout_items")
-    queries = lexical.query_vectors(items, vocab, "item_id", "text")
-    top = lexical.top_k(lexical.similarities(queries, postings, "item_id", "chunk_id"), "item_id", "chunk_id", TOP)
+    queries = lexical.sparse_vectors(items, vocab, "item_id", "text")
+    top = lexical.sparse_top_k(vectors, queries, "chunk_id", "item_id", TOP)
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
     near = top.select("item_id", F.shiftright("chunk_id", 24).alias("doc_id")).distinct().join(docs, "doc_id")
     near = near.withColumn("sid", F.col("doc_id") * CHUNKS + F.col("pos"))
-    weights = lexical.query_vectors(near.select("sid", "sentence").distinct(), vocab, "sid", "sentence")
-    dots = near.select("item_id", "sid").distinct().join(weights, "sid").join(queries.select("item_id", "term", F.col("weight").alias("qw")), ["item_id", "term"])
-    scored = dots.groupBy("item_id", "sid").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    best = lexical.top_k(scored, "item_id", "sid", 2).join(near.select("item_id", "sid", "sentence").distinct(), ["item_id", "sid"])
+    weights = lexical.sparse_vectors(near.select("sid", "sentence").distinct(), vocab, "sid", "sentence")
+    both = near.select("item_id", "sid", "sentence").join(weights, "sid").join(queries.select("item_id", F.map_from_arrays("places", "weights").alias("q")), "item_id")
+    dot = F.aggregate(F.zip_with("places", "weights", lambda p, w: F.coalesce(F.try_element_at("q", p), F.lit(0.0)) * w), F.lit(0.0), lambda s, x: s + x)
+    scored = both.select("item_id", "sid", "sentence", F.round(dot, 6).alias("score")).where(F.col("score") > 0)
+    best = lexical.top_k(scored, "item_id", "sid", 2)
     return best.groupBy("item_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"])).alias("answer"))
 
 
@@ -180,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         word_chunks, tail_windows, content_terms, sentence_split, clause_split, doc_stats, shortest_doc, evidence_statements, evidence_nested, evidence_nested_cases, evidence_normal,
-        corpus_fingerprints, document_ids, context_render, context_cap, tfidf_profile, lexical_topk, evidence_coverage, extractive_answer, evidence_scores, rouge_l, exact_text_match,
+        corpus_fingerprints, document_ids, context_render, context_cap, tfidf_profile, tfidf_postings, lexical_topk, evidence_coverage, extractive_answer, evidence_scores, rouge_l, exact_text_match,
     )
 }
 
@@ -205,7 +218,7 @@ _POSTINGS = f"""{_CHUNKS},
 tok AS (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(array_to_string(p, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))) AS term FROM chunks),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 nn AS (SELECT count(*) AS n FROM chunks),
-vocab AS (SELECT term, ln((1.0 + (SELECT n FROM nn)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
+vocab AS (SELECT term, ln((1.0 + (SELECT n FROM nn)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {lexical.MAX_FEATURES}),
 raw AS (SELECT chunk_id, term, (1.0 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
 postings AS (SELECT chunk_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS weight FROM raw)"""
 _TOPK = f"""{_POSTINGS},
@@ -257,6 +270,27 @@ WITH r AS (SELECT result_id, array_to_string(list_transform(contexts, lambda x,
 SELECT result_id, md5(regexp_extract(t, '^(?:\s*\S+){1,200}')) AS rendered_md5 FROM r""",
     "context_cap": "SELECT result_id, least(length(t), 300) AS characters, length(t) > 300 AS truncated FROM (SELECT result_id, coalesce(array_to_string(contexts, chr(10) || chr(10)), '') AS t FROM backend_results WHERE contexts IS NOT NULL)",
     "tfidf_profile": f"WITH {_POSTINGS} SELECT chunk_id, count(*) AS n_terms, round(max(weight), 6) AS top_weight, round(sum(weight * weight), 6) AS length FROM postings GROUP BY chunk_id",
+    "tfidf_postings": f"""
+WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x)) AS w FROM heldout_items),
+tok AS (SELECT item_id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+tf AS (SELECT item_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM heldout_items)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {lexical.MAX_FEATURES}),
+raw AS (SELECT item_id, term, (1.0 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
+postings AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM raw)
+SELECT item_id, count(*) AS n_terms, count(*) FILTER (contains(term, ' ')) AS n_bigrams, round(max(weight), 6) AS top_weight FROM postings GROUP BY item_id""",
+    "extractive_answer": f"""
+WITH {_TOPK},
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)),
+  lambda x: x <> '' AND len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) >= 5) AS s FROM documents),
+sent AS (SELECT doc_id, unnest(generate_series(0, len(s) - 1)) AS pos, unnest(s) AS sentence FROM s WHERE len(s) > 0),
+near AS (SELECT DISTINCT item_id, chunk_id // {CHUNKS} AS doc_id FROM top),
+stok AS (SELECT doc_id, pos, unnest(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))) AS term FROM sent WHERE doc_id IN (SELECT doc_id FROM near)),
+stf AS (SELECT doc_id, pos, term, count(*) AS tf FROM stok GROUP BY ALL),
+sraw AS (SELECT doc_id, pos, term, (1.0 + ln(tf)) * idf AS w FROM stf JOIN vocab USING (term)),
+sw AS (SELECT doc_id, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, pos)) AS weight FROM sraw),
+dots AS (SELECT item_id, doc_id, pos, round(sum(weight * qw), 6) AS score FROM near JOIN sw USING (doc_id) JOIN q USING (item_id, term) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, pos) AS rank FROM dots WHERE score > 0 QUALIFY rank <= 2)
+SELECT item_id, string_agg(sentence, ' ' ORDER BY rank) AS answer FROM best JOIN sent USING (doc_id, pos) GROUP BY item_id""",
     "lexical_topk": f"WITH {_TOPK} SELECT item_id, chunk_id, score, rank FROM top",
     "evidence_coverage": f"""
 WITH {_TOPK},
