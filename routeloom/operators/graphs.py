@@ -57,44 +57,93 @@ def personalized_rank(steps: DataFrame, seeds: DataFrame, iterations: int = 12,
     return rank.join(top, "query_id").select("query_id", "node", F.round(F.col("r") / (F.col("top") + 1e-12), 6).alias("rank"))
 
 
-def shortest_paths(steps: DataFrame, sources: DataFrame, limit: float = 12.0, rounds: int = 12) -> DataFrame:
-    """(source, node, dist, path): cheapest paths from each source within the distance limit.
+def distances(steps: DataFrame, sources: DataFrame, limit: float = 12.0, rounds: int = 12) -> DataFrame:
+    """(source, node, dist, pred): least cost from each source within the limit, and the node before.
 
-    Rounds of frontier relaxation: only nodes whose distance fell in the last round go on. A tie goes to the
-    smaller predecessor. Costs and distances are rounded to nine digits, so ties don't depend on summation order.
+    Rounds of frontier relaxation: only nodes whose distance fell in the last round go on, and only what they reach is
+    compared with what is known. A tie goes to the smaller predecessor; a source has the predecessor null. Costs and
+    distances are rounded to nine digits, so ties don't depend on summation order. No path is carried along.
     """
     costs = cut_lineage(steps.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.round("cost", 9).alias("cost")))
-    best = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.array("source").alias("path"))
-    frontier = best
-    for i in range(rounds):
+    kind = costs.schema["next"].dataType
+    best = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("pred"))
+    best = frontier = cut_lineage(best)
+    for _ in range(rounds):
         grown = (
-            frontier.join(costs, "node")
-            .select("source", F.col("next").alias("node"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.concat("path", F.array("next")).alias("path"))
+            frontier.select("source", "node", "dist")
+            .join(costs, "node")
+            .select("source", F.col("next").alias("node"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.col("node").alias("pred"))
             .where(F.col("dist") <= limit)
+            .groupBy("source", "node")
+            .agg(F.min(F.struct("dist", "pred")).alias("x"))
+            .select("source", "node", "x.dist", "x.pred")
         )
-        pool = best.withColumn("new", F.lit(0)).unionByName(grown.withColumn("new", F.lit(1)))
-        pick = F.min(F.struct("dist", F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(F.lit(-1)).alias("pred"), "new", "path"))
-        chosen = cut_lineage(pool.groupBy("source", "node").agg(pick.alias("x")).select("source", "node", "x.dist", "x.path", "x.new"))
-        best = chosen.drop("new")
-        frontier = chosen.where(F.col("new") == 1).drop("new")
+        known = best.select("source", "node", F.col("dist").alias("old"), F.col("pred").alias("old_pred"))
+        nearer = F.col("old").isNull() | (F.col("dist") < F.col("old"))
+        better = grown.join(known, ["source", "node"], "left").where(nearer | ((F.col("dist") == F.col("old")) & (F.col("pred") < F.col("old_pred"))))
+        better = cut_lineage(better.select("source", "node", "dist", "pred", nearer.alias("nearer")))
+        frontier = better.where("nearer").drop("nearer")
+        best = cut_lineage(best.join(better.select("source", "node"), ["source", "node"], "left_anti").unionByName(better.drop("nearer")))
         if frontier.isEmpty():
             break
     return best
 
 
-def path_flow(paths: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(query_id, node, flow): one for each seed and for each node on a path between two of the query's seeds."""
+def trace(found: DataFrame, pairs: DataFrame, steps: int = 12) -> DataFrame:
+    """(source, node, dist, path) of the wanted (source, node) pairs: predecessors followed back, at most so many steps."""
+    before = found.select("source", F.col("node").alias("at"), "pred")
+    walk = pairs.select("source", "node").distinct().join(found.select("source", "node", "dist"), ["source", "node"]).withColumn("at", F.col("node")).withColumn("path", F.array("node"))
+    done = walk.where(F.col("at") == F.col("source")).drop("at")
+    walk = walk.where(F.col("at") != F.col("source"))
+    for i in range(steps):
+        moved = walk.join(before, ["source", "at"]).select("source", "node", "dist", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
+        moved = cut_lineage(moved)
+        done = done.unionByName(moved.where(F.col("at") == F.col("source")).drop("at"))
+        walk = moved.where(F.col("at") != F.col("source"))
+        if i % 4 == 3 and walk.isEmpty():
+            break
+    return done
+
+
+def shortest_paths(steps: DataFrame, sources: DataFrame, limit: float = 12.0, rounds: int = 12) -> DataFrame:
+    """(source, node, dist, path): cheapest paths from each source to every node within the limit, of at most ``rounds`` steps."""
+    found = distances(steps, sources, limit, rounds)
+    return trace(found, found, rounds)
+
+
+def path_flow(found: DataFrame, seeds: DataFrame, steps: int = 12) -> DataFrame:
+    """(query_id, node, flow): one for each seed and for each node on a path between two of the query's seeds, over the greatest.
+
+    ``found`` has distances and predecessors from the seeds; a pair's path goes from the seed of lesser ``place`` to the
+    other (of lesser node where there is no place). Only these pairs are traced.
+    """
+    place = F.col("place") if "place" in seeds.columns else F.col("node")
+    own = seeds.select("query_id", "node", place.alias("place"))
     pairs = (
-        seeds.select("query_id", F.col("node").alias("source"))
-        .join(seeds.select("query_id", F.col("node").alias("target")), "query_id")  # at most a handful of seeds per query
-        .where(F.col("source") < F.col("target"))
+        own.select("query_id", F.col("node").alias("source"), F.col("place").alias("first"))
+        .join(own.select("query_id", F.col("node").alias("target"), F.col("place").alias("second")), "query_id")  # at most a handful of seeds per query
+        .where(F.col("first") < F.col("second"))
     )
+    paths = trace(found, pairs.select("source", F.col("target").alias("node")), steps)
     on_path = pairs.join(paths.select("source", F.col("node").alias("target"), "path"), ["source", "target"]).select("query_id", F.explode("path").alias("node"))
     counted = on_path.unionByName(seeds.select("query_id", "node")).groupBy("query_id", "node").agg(F.count("*").cast("double").alias("flow"))
     top = counted.groupBy("query_id").agg(F.max("flow").alias("top"))
     return counted.join(top, "query_id").select("query_id", "node", (F.col("flow") / F.col("top")).alias("flow"))
 
 
+def path_seeds(clause_hits: DataFrame, hits: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, node, place): the best node of each clause in clause order, once each, then the best hits until there are ``most``.
+
+    ``clause_hits`` has (query_id, clause, node), ``hits`` (query_id, node, rank).
+    """
+    pool = clause_hits.select("query_id", "node", F.struct(F.lit(0).alias("kind"), F.col("clause").cast("int").alias("at")).alias("o")).unionByName(
+        hits.where(F.col("rank") <= most).select("query_id", "node", F.struct(F.lit(1).alias("kind"), F.col("rank").cast("int").alias("at")).alias("o"))
+    )
+    firsts = pool.groupBy("query_id", "node").agg(F.min("o").alias("o"))  # at most 2 * most rows a query
+    order = Window.partitionBy("query_id").orderBy("o")
+    return firsts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("query_id", "node", "place")
+
+
 def fuse(parts: list[tuple[DataFrame, str, float]], k: int) -> DataFrame:
     """(query_id, node, score, rank): weighted sums of scores, absent ones as zero, and the k best per query."""
     stacked = None

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions import text as X
 from ..operators import graphs, knn, lexical
+from ..operators.registry import Registry
+from ..session import cut_lineage
+from . import text
 from .tables import table
 
 EVERY = 50  # the query set of searches: rows whose id is divisible by it
@@ -51,7 +55,8 @@ def chunk_graph(spark, d):
 
 
 def _steps(spark, d):
-    return graphs.transition(_chunk_graph(spark, d))
+    """The graph's steps, built once for all that a query does with them."""
+    return cut_lineage(graphs.transition(_chunk_graph(spark, d)))
 
 
 def graph_transition(spark, d):
@@ -67,14 +72,14 @@ def personalized_rank(spark, d):
 
 
 def light_topk(spark, d):
-    sims = _seeds(spark, d, 40)
+    sims = cut_lineage(_seeds(spark, d, 40))
     rank = graphs.personalized_rank(_steps(spark, d), sims.where(F.col("rank") <= 8))
     return graphs.fuse([(sims, "score", 0.55), (rank, "rank", 0.45)], 5)
 
 
 def _path_parts(spark, d):
     steps = _steps(spark, d)
-    sims = _seeds(spark, d, 40)
+    sims = cut_lineage(_seeds(spark, d, 40))
     seeds = sims.where(F.col("rank") <= 4).select("query_id", "node")
     return steps, sims, seeds
 
@@ -86,10 +91,102 @@ def shortest_paths(spark, d):
 
 
 def path_topk(spark, d):
+    """Vectors have no clauses: the seeds are the four most similar ones. See ``text_path_topk`` for questions."""
     steps, sims, seeds = _path_parts(spark, d)
-    paths = graphs.shortest_paths(steps, seeds.select(F.col("node").alias("source")))
+    found = graphs.distances(steps, seeds.select(F.col("node").alias("source")))
     rank = graphs.personalized_rank(steps, sims.where(F.col("rank") <= 8))
-    return graphs.fuse([(sims, "score", 0.45), (rank, "rank", 0.25), (graphs.path_flow(paths, seeds), "flow", 0.30)], 7)
+    return graphs.fuse([(sims, "score", 0.45), (rank, "rank", 0.25), (graphs.path_flow(found, seeds), "flow", 0.30)], 7)
+
+
+# The same methods over chunks of texts, by terms.
+
+
+def _asked(spark, d):
+    """The query set of the text searches: every fiftieth held-out item."""
+    return table(spark, d, "heldout_items").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
+def _text_parts(spark, d):
+    vocab, vectors = text._index(spark, d)
+    return vocab, cut_lineage(vectors)
+
+
+def term_knn(spark, d):
+    """Each chunk's eight most similar others by terms."""
+    _, vectors = _text_parts(spark, d)
+    return lexical.term_neighbours(vectors, "chunk_id")
+
+
+def _text_hits(vocab, vectors, asked, k):
+    queries = lexical.sparse_vectors(asked, vocab, "query_id", "text")
+    return lexical.sparse_top_k(vectors, queries, "chunk_id", "query_id", k).withColumnRenamed("chunk_id", "node")
+
+
+def _clause_seeds(vocab, vectors, asked, hits):
+    clauses = asked.select("query_id", F.posexplode(X.clauses(F.col("text"))).alias("clause", "text"))
+    keyed = clauses.select((F.col("query_id") * 4 + F.col("clause")).alias("clause_id"), "text")  # at most four clauses a query
+    best = lexical.sparse_top_k(vectors, lexical.sparse_vectors(keyed, vocab, "clause_id", "text"), "chunk_id", "clause_id", 1)
+    first = best.select(F.floor(F.col("clause_id") / 4).alias("query_id"), F.pmod("clause_id", F.lit(4)).alias("clause"), F.col("chunk_id").alias("node"))
+    return graphs.path_seeds(first, hits)
+
+
+def clause_seeds(spark, d):
+    """Seeds of the path method: each clause's best chunk, then the question's best until there are four."""
+    vocab, vectors = _text_parts(spark, d)
+    asked = _asked(spark, d)
+    return _clause_seeds(vocab, vectors, asked, _text_hits(vocab, vectors, asked, 4)).select("query_id", F.col("node").alias("chunk_id"), "place")
+
+
+def _text_steps(vectors):
+    near = lexical.term_neighbours(vectors, "chunk_id").select("src", "dst", F.col("sim").alias("w"))
+    chunks = vectors.select("chunk_id")
+    return cut_lineage(graphs.transition(graphs.assemble(near.unionByName(graphs.neighbour_edges(chunks, "chunk_id")))))
+
+
+def text_graph(spark, d):
+    """The chunk graph by terms: near chunks and those next to each other in a document."""
+    _, vectors = _text_parts(spark, d)
+    return _text_steps(vectors).select("src", "dst", F.round("p", 6).alias("p"), F.round("cost", 6).alias("cost"))
+
+
+def retrieve(spark, d, asked, method, k=None):
+    """(query_id, node, score, rank): the method's best chunks of each question; its own depth unless ``k`` is given."""
+    depth = k or Registry.TOPS[method]
+    vocab, vectors = _text_parts(spark, d)
+    sims = cut_lineage(_text_hits(vocab, vectors, asked, depth if method == "vector" else max(40, depth)))
+    if method == "vector":
+        return sims.where(F.col("rank") <= depth)
+    steps = _text_steps(vectors)
+    rank = graphs.personalized_rank(steps, sims.where(F.col("rank") <= 8))
+    if method == "lightrag":
+        return graphs.fuse([(sims, "score", 0.55), (rank, "rank", 0.45)], depth)
+    seeds = cut_lineage(_clause_seeds(vocab, vectors, asked, sims))
+    found = graphs.distances(steps, seeds.select(F.col("node").alias("source")))
+    return graphs.fuse([(sims, "score", 0.45), (rank, "rank", 0.25), (graphs.path_flow(found, seeds), "flow", 0.30)], depth)
+
+
+def builtin_registry(spark, d) -> Registry:
+    """The three built-in retrievers over the chunks of ``documents``, under their method names."""
+    registry = Registry()
+    for method in Registry.TOPS:
+        registry.register(method, lambda queries, k, method=method: retrieve(spark, d, queries, method, k).withColumnRenamed("node", "item"))
+    return registry
+
+
+def text_light_topk(spark, d):
+    return retrieve(spark, d, _asked(spark, d), "lightrag")
+
+
+def text_path_topk(spark, d):
+    return retrieve(spark, d, _asked(spark, d), "pathrag")
+
+
+def routed_retrieval(spark, d):
+    """Each question by the one method it is routed to: questions before the rest go by vector, then light, then path."""
+    asked = _asked(spark, d)
+    routes = asked.select("query_id", F.element_at(F.array(*[F.lit(m) for m in Registry.TOPS]), (F.pmod(F.floor(F.col("query_id") / EVERY), F.lit(3)) + 1).cast("int")).alias("method"))
+    found = builtin_registry(spark, d).routed(asked, routes)
+    return found.groupBy("query_id", "method").agg(F.count("*").alias("hits"), F.max("rank").alias("deepest"))
 
 
 def label_propagation(spark, d):
@@ -197,7 +294,7 @@ def relational_paths(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        unit_vectors, vector_topk, vector_threshold_sweep, vector_knn_graph, chunk_graph, graph_transition, personalized_rank, light_topk, shortest_paths, path_topk,
+        unit_vectors, vector_topk, vector_threshold_sweep, vector_knn_graph, chunk_graph, graph_transition, personalized_rank, light_topk, shortest_paths, path_topk, term_knn, clause_seeds, text_graph, text_light_topk, text_path_topk, routed_retrieval,
         label_propagation, entity_merge, relation_merge, graph_preview, graph_display, graph_related, induced_edges, hit_merge, verified_path_edges, identifier_resolution,
         neighbour_list, relational_paths,
     )
@@ -225,6 +322,76 @@ r{i} AS MATERIALIZED (SELECT query_id, node, sum(r) AS r FROM (SELECT query_id,
     return out + ",\nranks AS (SELECT query_id, node, round(r / (max(r) OVER (PARTITION BY query_id) + 1e-12), 6) AS rank FROM r12)"
 
 
+def _ranks(steps: str, hits: str, prefix: str = "") -> str:
+    """Twelve rounds of personalised rank over ``steps`` from the eight best of ``hits``."""
+    p = prefix
+    out = f"{p}mass AS (SELECT query_id, node, greatest(score, 1e-9) AS m FROM {hits} WHERE rank <= 8),\n{p}r0 AS MATERIALIZED (SELECT query_id, node, m / sum(m) OVER (PARTITION BY query_id) AS r FROM {p}mass)"
+    for i in range(1, 13):
+        out += f""",
+{p}r{i} AS MATERIALIZED (SELECT query_id, node, sum(r) AS r FROM (SELECT query_id, dst AS node, 0.65 * r * p AS r FROM {p}r{i - 1} JOIN {steps} ON src = node UNION ALL SELECT query_id, node, 0.35 * r FROM {p}r0) GROUP BY ALL)"""
+    return out + f",\n{p}ranks AS (SELECT query_id, node, round(r / (max(r) OVER (PARTITION BY query_id) + 1e-12), 6) AS rank FROM {p}r12)"
+
+
+def _paths_sql(steps: str, seeds: str) -> str:
+    """Least distances from ``seeds`` by full relaxation, predecessors of least name, and the paths they make."""
+    out = f"""costs AS MATERIALIZED (SELECT src, dst, round(cost, 9) AS cost FROM {steps}),
+d0 AS MATERIALIZED (SELECT DISTINCT node AS source, node, 0.0::DOUBLE AS dist, CAST(-1 AS BIGINT) AS pred FROM {seeds})"""
+    for i in range(1, 13):
+        out += f""",
+d{i} AS MATERIALIZED (SELECT * FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, round(dist + cost, 9), node FROM d{i - 1} JOIN costs ON src = node WHERE round(dist + cost, 9) <= 12)
+  QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY dist, pred) = 1)"""
+    return out + """,
+walk AS (SELECT source, node, dist, node AS spot, CAST(node AS VARCHAR) AS path, [node] AS nodes, 0 AS n FROM d12
+  UNION ALL SELECT w.source, w.node, w.dist, d.pred, d.pred || '>' || w.path, list_prepend(d.pred, w.nodes), n + 1 FROM walk w JOIN d12 d ON d.source = w.source AND d.node = w.spot WHERE w.spot <> w.source AND n < 12),
+paths AS (SELECT source, node, dist, path, nodes FROM walk WHERE spot = source)"""
+
+
+def _flow_sql(seeds: str) -> str:
+    return f"""seed_pairs AS (SELECT a.query_id, a.node AS source, b.node AS target FROM {seeds} a JOIN {seeds} b ON a.query_id = b.query_id AND a.place < b.place),
+counted AS (SELECT query_id, node, count(*)::DOUBLE AS flow FROM (SELECT query_id, unnest(nodes) AS node FROM seed_pairs JOIN paths ON paths.source = seed_pairs.source AND paths.node = seed_pairs.target UNION ALL SELECT query_id, node FROM {seeds}) GROUP BY ALL),
+flows AS (SELECT query_id, node, flow / max(flow) OVER (PARTITION BY query_id) AS flow FROM counted)"""
+
+
+def _fused(parts: str, k: int) -> str:
+    return f"""fused AS (SELECT query_id, node, round(sum(s), 6) AS score FROM ({parts}) GROUP BY ALL)
+SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM fused QUALIFY rank <= {k}"""
+
+
+_VECTOR_SEEDS = "seeds4 AS (SELECT query_id, vec_id AS node, vec_id AS place FROM hits WHERE rank <= 4)"
+_TEXT = f"""{text._POSTINGS},
+asked AS (SELECT item_id AS query_id, text FROM heldout_items WHERE item_id % {EVERY} = 0),
+qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({text._STOP}, x))) AS term FROM asked) GROUP BY ALL),
+qraw AS (SELECT query_id, term, (1.0 + ln(tf)) * idf AS w FROM qtf JOIN vocab USING (term)),
+q AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS qw FROM qraw),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM (SELECT query_id, chunk_id AS node, round(sum(qw * weight), 6) AS score FROM q JOIN postings USING (term) GROUP BY ALL) WHERE score > 0)"""
+_CLAUSES = f"""{_TEXT},
+cl AS (SELECT query_id, list_slice(list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\b(?:and|with|while|versus|compared to|because|if)\\b|[,;?]'), lambda x: trim(x)), lambda x: x <> ''),
+  lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) >= 2), 1, 4) AS s FROM asked),
+clause AS (SELECT query_id, unnest(generate_series(0, len(s) - 1)) AS clause, unnest(s) AS c FROM cl),
+ctf AS (SELECT query_id, clause, term, count(*) AS tf FROM (SELECT query_id, clause, unnest(list_filter(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({text._STOP}, x))) AS term FROM clause) GROUP BY ALL),
+craw AS (SELECT query_id, clause, term, (1.0 + ln(tf)) * idf AS w FROM ctf JOIN vocab USING (term)),
+cw AS (SELECT query_id, clause, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id, clause)) AS qw FROM craw),
+chits AS (SELECT * FROM (SELECT query_id, clause, chunk_id AS node, round(sum(qw * weight), 6) AS score FROM cw JOIN postings USING (term) GROUP BY ALL) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, clause ORDER BY score DESC, node) = 1),
+pool AS (SELECT query_id, node, 0 AS kind, clause AS spot FROM chits UNION ALL SELECT query_id, node, 1, rank FROM hits WHERE rank <= 4),
+once AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY kind, spot) = 1),
+seeds4 AS (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY kind, spot) AS place FROM once QUALIFY place <= 4)"""
+_TERM_GRAPH = """
+tknn AS (SELECT * FROM (SELECT a.chunk_id AS src, b.chunk_id AS dst, round(sum(a.weight * b.weight), 6) AS sim FROM postings a JOIN postings b ON a.term = b.term AND a.chunk_id <> b.chunk_id GROUP BY ALL) WHERE sim > 0.05
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 8),
+tadj AS (SELECT a.chunk_id AS src, b.chunk_id AS dst, 0.18::DOUBLE AS w FROM chunks a JOIN chunks b ON b.chunk_id = a.chunk_id + 1),
+tsum AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, sim AS w FROM tknn UNION ALL SELECT src, dst, w FROM tadj) GROUP BY ALL),
+tgraph AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM tsum UNION ALL SELECT dst, src, w FROM tsum) WHERE src <> dst GROUP BY src, dst HAVING max(w) > 0),
+tsteps AS MATERIALIZED (SELECT src, dst, w / greatest(sum(w) OVER (PARTITION BY src), 1e-12) AS p, 1.0 / greatest(w, 1e-6) AS cost FROM tgraph)"""
+
+
+def _propagation() -> str:
+    out = "l0 AS (SELECT DISTINCT src AS node, src AS label FROM both_ways)"
+    for i in range(1, 6):
+        out += f""",
+l{i} AS MATERIALIZED (SELECT src AS node, label FROM (SELECT src, label, count(*) AS n FROM both_ways JOIN l{i - 1} ON node = dst GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1)"""
+    return out
+
+
 _KG = """
 ent AS (SELECT e['entity_name'] AS node, e['entity_type'] AS kind FROM (SELECT unnest(entities) AS e FROM backend_results)),
 ents AS (SELECT * FROM ent WHERE node IS NOT NULL),
@@ -257,6 +424,23 @@ SELECT top_k, threshold, count(*) AS hits, count(DISTINCT query_id) AS queries F
 WITH {_rank_sql()},
 fused AS (SELECT query_id, node, round(sum(s), 6) AS score FROM (SELECT query_id, vec_id AS node, score * 0.55 AS s FROM hits WHERE rank <= 40 UNION ALL SELECT query_id, node, rank * 0.45 FROM ranks) GROUP BY ALL)
 SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM fused QUALIFY rank <= 5""",
+    "shortest_paths": f"WITH RECURSIVE {_GRAPH}, {_SEARCH}, {_VECTOR_SEEDS}, {_paths_sql('steps', 'seeds4')} SELECT source, node, round(dist, 6) AS dist, path FROM paths",
+    "path_topk": f"WITH RECURSIVE {_GRAPH}, {_SEARCH}, {_VECTOR_SEEDS}, {_paths_sql('steps', 'seeds4')}, vhits AS (SELECT query_id, vec_id AS node, score, rank FROM hits), {_ranks('steps', 'vhits')}, {_flow_sql('seeds4')}, "
+    + _fused("SELECT query_id, node, score * 0.45 AS s FROM vhits WHERE rank <= 40 UNION ALL SELECT query_id, node, rank * 0.25 FROM ranks UNION ALL SELECT query_id, node, flow * 0.30 FROM flows", 7),
+    "term_knn": f"WITH {text._POSTINGS}, {_TERM_GRAPH} SELECT src, dst, sim FROM tknn",
+    "text_graph": f"WITH {text._POSTINGS}, {_TERM_GRAPH} SELECT src, dst, round(p, 6) AS p, round(cost, 6) AS cost FROM tsteps",
+    "clause_seeds": f"WITH {_CLAUSES} SELECT query_id, node AS chunk_id, place FROM seeds4",
+    "text_light_topk": f"WITH {_TEXT}, {_TERM_GRAPH}, {_ranks('tsteps', 'hits')}, " + _fused("SELECT query_id, node, score * 0.55 AS s FROM hits WHERE rank <= 40 UNION ALL SELECT query_id, node, rank * 0.45 FROM ranks", 5),
+    "text_path_topk": f"WITH RECURSIVE {_CLAUSES}, {_TERM_GRAPH}, {_paths_sql('tsteps', 'seeds4')}, {_ranks('tsteps', 'hits')}, {_flow_sql('seeds4')}, "
+    + _fused("SELECT query_id, node, score * 0.45 AS s FROM hits WHERE rank <= 40 UNION ALL SELECT query_id, node, rank * 0.25 FROM ranks UNION ALL SELECT query_id, node, flow * 0.30 FROM flows", 7),
+    "routed_retrieval": f"SELECT item_id AS query_id, ['vector', 'lightrag', 'pathrag'][item_id // {EVERY} % 3 + 1] AS method, [3, 5, 7][item_id // {EVERY} % 3 + 1] AS hits, [3, 5, 7][item_id // {EVERY} % 3 + 1] AS deepest FROM heldout_items WHERE item_id % {EVERY} = 0",
+    "label_propagation": f"WITH {_GRAPH}, both_ways AS (SELECT DISTINCT src, dst FROM graph), {_propagation()} SELECT node, label FROM l5",
+    "relational_paths": """WITH {kg}, both_ways AS (SELECT a AS src, b AS dst FROM merged UNION ALL SELECT b, a FROM merged), moves AS (SELECT src, dst, 0.8::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM both_ways),
+h1 AS (SELECT s.node AS query_id, [s.node, m.dst] AS path, m.dst AS spot, share AS resource FROM seeds s JOIN moves m ON m.src = s.node WHERE m.dst <> s.node AND share >= 0.02),
+h2 AS (SELECT query_id, list_append(path, m.dst) AS path, m.dst AS spot, resource * share AS resource FROM h1 JOIN moves m ON m.src = spot WHERE NOT list_contains(path, m.dst) AND resource * share >= 0.02),
+h3 AS (SELECT query_id, list_append(path, m.dst) AS path, m.dst AS spot, resource * share AS resource FROM h2 JOIN moves m ON m.src = spot WHERE NOT list_contains(path, m.dst) AND resource * share >= 0.02)
+SELECT query_id, array_to_string(path, '>') AS path, round(resource, 6) AS resource, row_number() OVER (PARTITION BY query_id ORDER BY resource DESC, path) AS rank
+FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) QUALIFY rank <= 40""".replace("{kg}", _KG),
     "entity_merge": f"WITH {_KG} SELECT node, array_to_string(list_sort(list(DISTINCT kind)), '<SEP>') AS kinds, count(*) AS mentions FROM ents GROUP BY node",
     "relation_merge": f"WITH {_KG} SELECT * FROM merged",
     "graph_preview": f"WITH {_KG} SELECT node, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT node FROM ents) LEFT JOIN deg USING (node) ORDER BY degree DESC, node LIMIT 60",
