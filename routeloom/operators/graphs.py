@@ -74,16 +74,12 @@ def distances(steps: DataFrame, sources: DataFrame, limit: float = 12.0, rounds:
             .join(costs, "node")
             .select("source", F.col("next").alias("node"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.col("node").alias("pred"))
             .where(F.col("dist") <= limit)
-            .groupBy("source", "node")
-            .agg(F.min(F.struct("dist", "pred")).alias("x"))
-            .select("source", "node", "x.dist", "x.pred")
         )
-        known = best.select("source", "node", F.col("dist").alias("old"), F.col("pred").alias("old_pred"))
-        nearer = F.col("old").isNull() | (F.col("dist") < F.col("old"))
-        better = grown.join(known, ["source", "node"], "left").where(nearer | ((F.col("dist") == F.col("old")) & (F.col("pred") < F.col("old_pred"))))
-        better = cut_lineage(better.select("source", "node", "dist", "pred", nearer.alias("nearer")))
-        frontier = better.where("nearer").drop("nearer")
-        best = cut_lineage(best.join(better.select("source", "node"), ["source", "node"], "left_anti").unionByName(better.drop("nearer")))
+        # One small row per offer; partial minima are taken before the shuffle.
+        pool = best.withColumn("old", F.col("dist")).unionByName(grown.withColumn("old", F.lit(None).cast("double")))
+        chosen = pool.groupBy("source", "node").agg(F.min(F.struct("dist", "pred")).alias("x"), F.min("old").alias("old"))
+        chosen = cut_lineage(chosen.select("source", "node", "x.dist", "x.pred", (F.col("old").isNull() | (F.col("x.dist") < F.col("old"))).alias("nearer")))
+        best, frontier = chosen.drop("nearer"), chosen.where("nearer")
         if frontier.isEmpty():
             break
     return best
@@ -93,16 +89,16 @@ def trace(found: DataFrame, pairs: DataFrame, steps: int = 12) -> DataFrame:
     """(source, node, dist, path) of the wanted (source, node) pairs: predecessors followed back, at most so many steps."""
     before = found.select("source", F.col("node").alias("at"), "pred")
     walk = pairs.select("source", "node").distinct().join(found.select("source", "node", "dist"), ["source", "node"]).withColumn("at", F.col("node")).withColumn("path", F.array("node"))
-    done = walk.where(F.col("at") == F.col("source")).drop("at")
-    walk = walk.where(F.col("at") != F.col("source"))
     for i in range(steps):
-        moved = walk.join(before, ["source", "at"]).select("source", "node", "dist", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
-        moved = cut_lineage(moved)
-        done = done.unionByName(moved.where(F.col("at") == F.col("source")).drop("at"))
-        walk = moved.where(F.col("at") != F.col("source"))
-        if i % 4 == 3 and walk.isEmpty():
-            break
-    return done
+        goes_on = F.col("at") != F.col("source")
+        walk = walk.join(before, ["source", "at"], "left").select(
+            "source", "node", "dist", F.when(goes_on, F.col("pred")).otherwise(F.col("at")).alias("at"), F.when(goes_on, F.concat(F.array("pred"), "path")).otherwise(F.col("path")).alias("path")
+        )
+        if i % 3 == 2:
+            walk = cut_lineage(walk)
+            if i + 1 < steps and walk.where(F.col("at") != F.col("source")).isEmpty():
+                break
+    return walk.where(F.col("at") == F.col("source")).drop("at")
 
 
 def shortest_paths(steps: DataFrame, sources: DataFrame, limit: float = 12.0, rounds: int = 12) -> DataFrame:
