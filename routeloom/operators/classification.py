@@ -40,3 +40,13 @@ def majority(rows: DataFrame, label: str, position: str) -> DataFrame:
     """The most frequent label, ties to the one met first, and its share."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"), F.min(position).alias("first"))
     return counts.agg(F.max_by(label, F.struct("n", (-F.col("first")).alias("f"))).alias("majority"), F.round(F.max("n") / F.sum("n"), 6).alias("accuracy"))
+
+
+def macro_f1_seen(pairs: DataFrame) -> DataFrame:
+    """(macro_f1, labels): mean F1 of the labels that occur on either side; one count per label and role, no fixed list."""
+    roles = pairs.select(F.explode(F.array(
+        F.struct(F.col("truth").alias("label"), (F.col("truth") == F.col("prediction")).cast("long").alias("tp")),
+        F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("tp")),
+    )).alias("r"))
+    per = roles.groupBy("r.label").agg(F.sum("r.tp").alias("tp"), F.count("*").alias("n"))
+    return per.agg(F.round(F.avg(2 * F.col("tp") / F.col("n")), 6).alias("macro_f1"), F.count("*").alias("labels"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, parsing, records, routing, text
+from . import gating, graph, parsing, records, routing, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **graph.QUERIES, **routing.QUERIES, **records.QUERIES, **parsing.QUERIES}
-ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **graph.ORACLE_SQL, **routing.ORACLE_SQL, **records.ORACLE_SQL, **parsing.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **graph.QUERIES, **routing.QUERIES, **records.QUERIES, **parsing.QUERIES, **gating.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **graph.ORACLE_SQL, **routing.ORACLE_SQL, **records.ORACLE_SQL, **parsing.ORACLE_SQL, **gating.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
