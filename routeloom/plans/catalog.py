@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gating, graph, parsing, records, routing, text, viewing
+from . import gating, graph, parsing, records, routers, routing, text, viewing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **graph.QUERIES, **routing.QUERIES, **records.QUERIES, **parsing.QUERIES, **gating.QUERIES, **viewing.QUERIES}
-ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **graph.ORACLE_SQL, **routing.ORACLE_SQL, **records.ORACLE_SQL, **parsing.ORACLE_SQL, **gating.ORACLE_SQL, **viewing.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text.QUERIES, **graph.QUERIES, **routing.QUERIES, **records.QUERIES, **parsing.QUERIES, **gating.QUERIES, **viewing.QUERIES, **routers.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **graph.ORACLE_SQL, **routing.ORACLE_SQL, **records.ORACLE_SQL, **parsing.ORACLE_SQL, **gating.ORACLE_SQL, **viewing.ORACLE_SQL, **routers.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
