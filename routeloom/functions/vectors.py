@@ -22,3 +22,8 @@ def unit(a: Column) -> Column:
     """The vector at length one; null for a vector of length zero."""
     length = norm(a)
     return F.when(length > 0, F.transform(doubles(a), lambda x: x / length))
+
+
+def strict_unit(a: Column) -> Column:
+    """The vector at length one; a vector of length zero fails the job."""
+    return F.coalesce(unit(a), F.when(a.isNotNull(), F.raise_error(F.lit("zero vector")).cast("array<double>")))

@@ -16,8 +16,9 @@ def alignment_violations(results: DataFrame, key: str, method: str, methods) ->
 
 
 def reference_conflicts(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, variants): keys whose reference fields differ between rows."""
-    return rows.groupBy(key).agg(F.count_distinct(F.hash(*fields), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias("variants")).where(F.col("variants") > 1)
+    """(key, variants): keys whose reference fields differ between rows; a null field counts as blank."""
+    same = F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
+    return rows.groupBy(key).agg(F.count_distinct(same).alias("variants")).where(F.col("variants") > 1)
 
 
 def invalid_scores(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,11 +41,13 @@ def unique_text_ids(texts: DataFrame, text: str, key: str) -> DataFrame:
     return texts.groupBy(text).agg(F.count("*").alias("n"), F.min(key).alias(key)).where(F.col("n") == 1).drop("n")
 
 
-def resume_plan(todo: DataFrame, written: DataFrame, key: str, failed: str) -> tuple[DataFrame, DataFrame]:
-    """(pending, duplicated): keys without a good row yet, and keys with more than one."""
+def resume_plan(todo: DataFrame, written: DataFrame, key: str, failed: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pending, duplicated): keys without a good row yet, and keys with more than one; with ``strict`` those fail the job."""
     good = written.where(F.col(failed).isNull() & F.col(key).isNotNull())
-    pending = todo.select(key).distinct().join(good.select(key).distinct(), key, "left_anti")
-    return pending, good.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    counted = good.groupBy(key).agg(F.count("*").alias("rows"))
+    done = counted.select(F.when(F.lit(strict) & (F.col("rows") > 1), F.raise_error(F.lit("duplicate result")).cast("string")).otherwise(F.col(key).cast("string")).alias("_done"))
+    pending = todo.select(key).distinct().join(done, F.col(key).cast("string") == F.col("_done"), "left_anti")
+    return pending, counted.where(F.col("rows") > 1)
 
 
 def reusable(evaluated: DataFrame, source: DataFrame, key: str, protocol: str) -> DataFrame:
@@ -54,5 +57,5 @@ def reusable(evaluated: DataFrame, source: DataFrame, key: str, protocol: str) -
 
 
 def fingerprint(columns: list[str]):
-    """sha256 over sorted columns as text."""
-    return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(columns)]), 256)
+    """sha256 of the JSON object of the columns under sorted names: no value can run into its neighbour."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -51,8 +51,7 @@ def alignment_violations(spark, d):
 
 
 def reference_conflicts(spark, d):
-    q = table(spark, d, "p0_questions").where(F.col("id").isNotNull())
-    return q.groupBy("id").agg(F.count_distinct(F.concat_ws("\x1f", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))).alias("variants")).where(F.col("variants") > 1)
+    return checks.reference_conflicts(table(spark, d, "p0_questions").where(F.col("id").isNotNull()), "id", ["question", "answer"])
 
 
 def invalid_times(spark, d):
@@ -94,7 +93,7 @@ def missing_embeddings(spark, d):
 def fingerprint_reuse(spark, d):
     """Results whose fingerprint another result of the question shares: the later ones can reuse the first."""
     r = table(spark, d, "backend_results").where(F.col("answer").isNotNull() & F.col("question_id").isNotNull())
-    marked = r.select("result_id", F.sha2(F.concat_ws("|", "question_id", "method", "answer"), 256).alias("fingerprint"))
+    marked = r.select("result_id", checks.fingerprint(["question_id", "method", "answer"]).alias("fingerprint"))
     return marked.groupBy("fingerprint").agg(F.min("result_id").alias("first"), F.count("*").alias("results")).where(F.col("results") > 1)
 
 
@@ -183,10 +182,28 @@ UNION ALL SELECT question_id, 'right' FROM (SELECT DISTINCT question_id FROM que
     "split_leaks": "SELECT id FROM p0_questions WHERE lower(trim(split)) = 'train' INTERSECT SELECT id FROM p0_questions WHERE lower(trim(split)) = 'test'",
     "resume_pending": "SELECT DISTINCT id AS question_id FROM p0_questions WHERE id IS NOT NULL AND id NOT IN (SELECT question_id FROM backend_results WHERE answer IS NOT NULL AND question_id IS NOT NULL)",
     "missing_embeddings": "SELECT DISTINCT id AS question_id FROM p0_questions WHERE id IS NOT NULL AND id NOT IN (SELECT question_id FROM question_embeddings WHERE embedding IS NOT NULL AND question_id IS NOT NULL)",
-    "fingerprint_reuse": "SELECT sha256(concat_ws('|', question_id, method, answer)) AS fingerprint, min(result_id) AS first, count(*) AS results FROM backend_results WHERE answer IS NOT NULL AND question_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "fingerprint_reuse": "SELECT sha256(to_json({'answer': answer, 'method': method, 'question_id': question_id})) AS fingerprint, min(result_id) AS first, count(*) AS results FROM backend_results WHERE answer IS NOT NULL AND question_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "run_history_top100": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "newest_per_user": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 20",
     "keyword_json": "SELECT CAST(props->>'$.k' AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
+    "router_ridge_oof": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS fold, CAST(embedding AS DOUBLE[]) AS x, [label / 10.0::DOUBLE, CAST(label % 3 AS DOUBLE)] AS y FROM embeddings),
+dim AS (SELECT unnest(generate_series(1, 64)) AS i),
+n AS (SELECT fold, count(*)::DOUBLE AS n FROM v GROUP BY fold), sx AS (SELECT fold, i, sum(x[i]) AS s FROM v, dim GROUP BY ALL), sy AS (SELECT fold, t, sum(y[t]) AS s FROM v, (SELECT unnest([1, 2]) AS t) GROUP BY ALL),
+sxx AS (SELECT fold, a.i, b.i AS j, sum(x[a.i] * x[b.i]) AS s FROM v, dim a, dim b GROUP BY ALL), sxy AS (SELECT fold, i, t, sum(x[i] * y[t]) AS s FROM v, dim, (SELECT unnest([1, 2]) AS t) GROUP BY ALL),
+on_ AS (SELECT f.fold, sum(n.n) AS n FROM n f JOIN n ON n.fold <> f.fold GROUP BY f.fold), ox AS (SELECT f.fold, i, sum(s) AS s FROM n f JOIN sx ON sx.fold <> f.fold GROUP BY ALL), oy AS (SELECT f.fold, t, sum(s) AS s FROM n f JOIN sy ON sy.fold <> f.fold GROUP BY ALL),
+oxx AS (SELECT f.fold, i, j, sum(s) AS s FROM n f JOIN sxx ON sxx.fold <> f.fold GROUP BY ALL), oxy AS (SELECT f.fold, i, t, sum(s) AS s FROM n f JOIN sxy ON sxy.fold <> f.fold GROUP BY ALL),
+a AS (SELECT fold, list(line ORDER BY i) AS a FROM (SELECT m.fold, m.i, list(m.s - p.s * q.s / o.n + CASE WHEN m.i = m.j THEN 1.0 ELSE 0.0 END ORDER BY m.j) AS line FROM oxx m JOIN on_ o USING (fold) JOIN ox p ON p.fold = m.fold AND p.i = m.i JOIN ox q ON q.fold = m.fold AND q.i = m.j GROUP BY ALL) GROUP BY fold),
+b AS (SELECT m.fold, m.t, list(m.s - p.s * q.s / o.n ORDER BY m.i) AS b FROM oxy m JOIN on_ o USING (fold) JOIN ox p ON p.fold = m.fold AND p.i = m.i JOIN oy q ON q.fold = m.fold AND q.t = m.t GROUP BY ALL),
+it(fold, t, k, w, r, p) AS (
+  SELECT fold, t, 0, list_transform(b, lambda x: 0.0::DOUBLE), b, b FROM b
+  UNION ALL
+  SELECT fold, t, k + 1, list_transform(generate_series(1, 64), lambda i: w[i] + alpha * p[i]), r2, list_transform(generate_series(1, 64), lambda i: r2[i] + list_inner_product(r2, r2) / greatest(list_inner_product(r, r), 1e-300) * p[i])
+  FROM (SELECT *, list_transform(generate_series(1, 64), lambda i: r[i] - alpha * ap[i]) AS r2 FROM (SELECT *, list_inner_product(r, r) / greatest(list_inner_product(p, ap), 1e-300) AS alpha FROM (
+    SELECT it.*, list_transform(a, lambda line: list_inner_product(line, p)) AS ap FROM it JOIN a USING (fold) WHERE k < 60)))
+), w AS (SELECT fold, t, w FROM it WHERE k = 60), mx AS (SELECT fold, list(s / n ORDER BY i) AS m FROM ox JOIN on_ USING (fold) GROUP BY fold),
+h AS (SELECT v.vec_id, v.fold, w.t, s / n - list_inner_product(m, w.w) + list_inner_product(v.x, w.w) AS h FROM v JOIN w ON w.fold = v.fold JOIN mx ON mx.fold = v.fold JOIN on_ o ON o.fold = v.fold JOIN oy ON oy.fold = v.fold AND oy.t = w.t)
+SELECT vec_id, fold, round(max(CASE WHEN t = 1 THEN h END), 6) AS pred_a, round(max(CASE WHEN t = 2 THEN h END), 6) AS pred_b FROM h GROUP BY vec_id, fold""",
     "events_hourly": "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_sliding": "SELECT epoch_us(s) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS s FROM events) GROUP BY ALL",
     "events_sessions": """

@@ -305,6 +305,17 @@ q AS (SELECT result_id, method, have, {_terms_sql('s')} AS want FROM p),
 x AS (SELECT result_id, method, round(len(list_intersect(want, have)) / greatest(len(want), 1), 6) AS recall FROM q),
 y AS (SELECT result_id, method, avg(recall) AS coverage, avg(CASE WHEN recall >= 0.75 THEN 1.0 ELSE 0.0 END) AS hits FROM x GROUP BY ALL)
 SELECT method, count(*) AS results, round(avg(coverage), 6) AS coverage, round(avg(hits), 6) AS hit_rate FROM y GROUP BY method""",
+    "rouge_l": """
+WITH RECURSIVE truth AS (SELECT id AS question_id, max(answer) AS truth FROM p0_questions WHERE id IS NOT NULL GROUP BY id),
+base AS (SELECT result_id, method, regexp_extract_all(lower(b.answer), '[a-z0-9]+') AS p, regexp_extract_all(lower(truth), '[a-z0-9]+') AS r FROM backend_results b JOIN truth USING (question_id) WHERE b.answer IS NOT NULL AND truth IS NOT NULL),
+walk(result_id, i, best) AS (
+  SELECT result_id, 0, list_transform(p, lambda x: 0::BIGINT) FROM base WHERE len(p) > 0 AND len(r) > 0
+  UNION ALL
+  SELECT result_id, i + 1, list_transform(generate_series(1, len(c)), lambda j: list_max(list_slice(c, 1, j)))
+  FROM (SELECT w.result_id, i, list_transform(generate_series(1, len(p)), lambda j: CASE WHEN p[j] = r[i + 1] THEN coalesce(CASE WHEN j > 1 THEN best[j - 1] END, 0) + 1 ELSE best[j] END) AS c FROM walk w JOIN base USING (result_id) WHERE i < len(r))
+), n AS (SELECT w.result_id, best[len(best)] AS n FROM walk w JOIN base b ON b.result_id = w.result_id AND w.i = len(b.r)),
+f AS (SELECT b.method, CASE WHEN n IS NULL THEN 0.0 ELSE 2.0 * (n / len(p)::DOUBLE) * (n / len(r)::DOUBLE) / greatest(n / len(p)::DOUBLE + n / len(r)::DOUBLE, 1e-12) END AS f FROM base b LEFT JOIN n USING (result_id))
+SELECT method, count(*) AS results, round(avg(f), 6) AS rouge_l FROM f GROUP BY method""",
     "exact_text_match": """
 WITH u AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text HAVING count(*) = 1), r AS (SELECT result_id, unnest(contexts) AS text FROM backend_results)
 SELECT doc_id IS NOT NULL AS matched, count(*) AS contexts FROM r LEFT JOIN u USING (text) GROUP BY 1""",

@@ -60,6 +60,19 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION_SCHEMA).json(path)
 
 
+def read_benchmark(spark: SparkSession, corpus: str, questions: str, subset: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, questions) of a benchmark; a file that isn't there is named in the error."""
+    from pyspark.errors import AnalysisException
+
+    found = []
+    for path, read in ((corpus, lambda p: read_corpus(spark, p, subset)), (questions, lambda p: read_questions(spark, p))):
+        try:
+            found.append(read(path))
+        except AnalysisException as missing:
+            raise SourceError("MISSING_FILE", path) from missing
+    return found[0], found[1]
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).json(path)
 

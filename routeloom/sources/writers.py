@@ -29,12 +29,16 @@ def write_index(chunks: DataFrame, path: str, identity: dict[str, str], mode: st
     spark.createDataFrame(sorted(identity.items()), "name string, value string").coalesce(1).write.mode(mode).parquet(f"{path}/manifest")
 
 
-def load_index(spark: SparkSession, path: str, identity: dict[str, str]) -> DataFrame:
-    """The index's rows if it was built from the same identity; never a silent rebuild."""
+def load_index(spark: SparkSession, path: str, identity: dict[str, str], vector: str | None = None, dimensions: int | None = None) -> DataFrame:
+    """The index's rows if it was built from the same identity; never a silent rebuild. Vectors of another width fail the job."""
     found = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/manifest").collect()}
     if found != identity:
         raise SourceError("INDEX_MISMATCH", f"index at {path} was built from {found}, not {identity}")
-    return spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    if vector is None or dimensions is None:
+        return rows
+    wrong = F.raise_error(F.lit(f"INDEX_DIMENSION: not {dimensions}")).cast(rows.schema[vector].dataType)
+    return rows.withColumn(vector, F.when(F.size(vector) == dimensions, F.col(vector)).otherwise(wrong))
 
 
 def missing_embeddings(ids: DataFrame, cache: DataFrame, key: str) -> DataFrame:

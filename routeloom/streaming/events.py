@@ -97,3 +97,54 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def require_results(events: DataFrame) -> DataFrame:
+    """(run_id, seq, type, payload): the events, and for each run that ended its list without result or error a MISSING_RESULT error.
+
+    For a finished batch of events: an open stream can't tell that a run will have no more.
+    """
+    ended = events.groupBy("run_id").agg(F.max("seq").alias("seq"), F.max(F.col("type").isin("result", "error").cast("int")).alias("done"))
+    lost = ended.where(F.col("done") == 0).select("run_id", (F.col("seq") + 1).alias("seq"), F.lit("error").alias("type"), F.lit("MISSING_RESULT").alias("payload"))
+    return events.select("run_id", "seq", "type", "payload").unionByName(lost)
+
+
+def keep_newest(stream: DataFrame, path: str, checkpoint: str, keep: int = 100, stamp: str = "created_at", key: str = "id"):
+    """A query that keeps the newest rows of a stream under ``path``: each batch is merged with what is kept and written as a
+    version of its own; the newest version is the history. A batch that is run again overwrites its version.
+    """
+    from ..sources.writers import newest
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = newest_version(spark, path, number)
+        rows = batch if before is None else batch.unionByName(before.select(*batch.columns))
+        newest(rows, keep, stamp, key).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={number}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def newest_version(spark: SparkSession, path: str, below: int = 1 << 62) -> DataFrame | None:
+    """The history of the last batch before number ``below``; None before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    number = rows.where(F.col("version") < below).agg(F.max("version")).first()[0]
+    return None if number is None else spark.read.parquet(f"{path.rstrip('/')}/version={number}")
+
+
+class Run:
+    """A started stream that its reader can leave: stopping it frees what it holds, also when the reader failed."""
+
+    def __init__(self, writer):
+        self.query = writer.start()
+
+    def __enter__(self):
+        return self.query
+
+    def __exit__(self, *_):
+        self.query.stop()
+        return False
