@@ -214,12 +214,12 @@ def unit_vector(terms: list[str], weights: list[float]) -> tuple[list[str], list
     return [terms[k] for k in order], [weights[k] / length for k in order]
 
 
-VECTOR = "terms array<string>, w array<double>, n array<long>, lists array<struct<key:string,a:double,b:double,norm:double,most:double,total:double>>"
+VECTOR = "v array<struct<term:string,w:double,n:long>>, lists array<struct<key:string,a:double,b:double,norm:double,most:double,total:double>>"
 
 
 def weighted_vectors(classes: DataFrame, threshold: float, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(class_id, train, eval, terms, w, n, lists): unit vectors in descending weight with their terms' frequencies, and
-    the lists a class stands in.
+    """(class_id, train, eval, v, lists): unit vectors in descending weight with their terms' frequencies, and the lists a
+    class stands in.
 
     Up to ``broadcast_terms`` terms their frequencies are broadcast and looked up in place; more are joined.
     """
@@ -243,8 +243,8 @@ def weighted_vectors(classes: DataFrame, threshold: float, broadcast_terms: int
                 # A term of one class can't be shared: it only lengthens the vector.
                 weights = [math.log1p(total / known[t]) if known[t] > 1 else 1.0 for t in terms]
                 terms, w = unit_vector(list(terms), weights)
-                out.append((class_id, train, held, terms, w, [int(known[t]) for t in terms], list_keys(terms, w, threshold)))
-            yield pd.DataFrame(out, columns=["class_id", "train", "eval", "terms", "w", "n", "lists"])
+                out.append((class_id, train, held, [(t, x, int(known[t])) for t, x in zip(terms, w)], list_keys(terms, w, threshold)))
+            yield pd.DataFrame(out, columns=["class_id", "train", "eval", "v", "lists"])
 
     return source.mapInPandas(build, f"class_id string, train int, eval int, {VECTOR}")
 
@@ -307,14 +307,13 @@ def similar_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     bound = shared + F.least(residual, heaviest)
     met = side("train", "x").join(side("eval", "y"), "key").where((F.col("x") != F.col("y")) & (bound >= threshold - 1e-5))
     candidates = met.select("x", "y").distinct()
-    full = vectors.select("class_id", "terms", "w", "n")
-    of = lambda c: full.select(F.col("class_id").alias(c), *[F.col(f).alias(f + c) for f in ("terms", "w", "n")])
+    of = lambda c: vectors.select(F.col("class_id").alias(c), *[F.col(f"v.{f}").alias(f + c) for f in ("term", "w", "n")])
     pairs = candidates.join(of("x"), "x").join(of("y"), "y")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for x, y, tx, wx, nx, ty, wy, ny in pdf[["x", "y", "termsx", "wx", "nx", "termsy", "wy", "ny"]].itertuples(index=False, name=None):
+            for x, y, tx, wx, nx, ty, wy, ny in pdf[["x", "y", "termx", "wx", "nx", "termy", "wy", "ny"]].itertuples(index=False, name=None):
                 other = dict(zip(ty, wy))
                 cosine = sum(w * other[t] for t, w in zip(tx, wx) if t in other)
                 if cosine >= threshold - 1e-9 and same_question(dict(zip(tx, nx)), dict(zip(ty, ny))):

@@ -105,7 +105,7 @@ def category_tree(cells: list[dict]) -> Node:
     return root
 
 
-def allocate(cells: list[dict], sample_size: int | None = None) -> dict[tuple[str, str], Node]:
+def allocated_leaves(cells: list[dict], sample_size: int | None = None) -> dict[tuple[str, str], Node]:
     """The leaf of each target cell with its rows to draw, after the quota went down the tree.
 
     ``cells`` are dicts with question_type, split, needed and supply, and where known target_share and min_rows. The
@@ -120,6 +120,11 @@ def allocate(cells: list[dict], sample_size: int | None = None) -> dict[tuple[st
     return {leaf.name: leaf for leaf in root.leaves() if len(leaf.name) == 2}
 
 
+def allocate(cells: list[dict], sample_size: int | None = None) -> dict[tuple[str, str], int]:
+    """Rows to draw from each target cell, see ``allocated_leaves``."""
+    return {name: leaf.drawn for name, leaf in allocated_leaves(cells, sample_size).items()}
+
+
 def allocation_report(questions: DataFrame, targets: DataFrame) -> DataFrame:
     """(question_type, split, target_share, min_rows, sample_size, available, needed, shortfall) of every target cell.
 
@@ -167,9 +172,9 @@ def allocation(questions: DataFrame, targets: DataFrame) -> tuple[DataFrame, lis
     )
     supply = {(r["question_type"], r["split"]): r["n"] for r in home.groupBy("question_type", "split").agg(F.count("*").alias("n")).collect()}
     cells = [r.asDict() for r in report.collect()]
-    offered = allocate([{**c, "supply": c["available"]} for c in cells])
+    offered = allocated_leaves([{**c, "supply": c["available"]} for c in cells])
     size = max((c["sample_size"] for c in cells), default=0)
-    drawn = allocate([{**c, "supply": supply.get((c["question_type"], c["split"]), 0)} for c in cells], size)
+    drawn = allocated_leaves([{**c, "supply": supply.get((c["question_type"], c["split"]), 0)} for c in cells], size)
     rows = []
     for c in cells:
         key = (c["question_type"], c["split"])

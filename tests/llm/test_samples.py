@@ -97,3 +97,57 @@ def test_lost_ids(spark):
     q = spark.createDataFrame([("a", "test"), ("b", "TEST"), ("c", "train"), ("x", "test")], "id string, split string")
     assert {r["id"] for r in steady.lost_ids(q, m).collect()} == {"b", "x", "c"}
     assert steady.lost_ids(q.limit(0), m.limit(0)).count() == 0
+
+
+def test_draw_is_fitted_to_the_sample_size(spark):
+    t = spark.createDataFrame([("Fact Retrieval", "train", 1 / 3, 0, 0.1), ("Fact Retrieval", "test", 1 / 3, 0, 0.1), ("Complex Reasoning", "validation", 1 / 3, 0, 0.1)], TARGETS)
+    q = questions(spark)
+    drawn = quota.quota_sample(q, t)
+    assert drawn.count() == 40  # three needs of 14, rounded up, make 42
+    table = {(r["question_type"], r["split"]): r for r in quota.allocation_table(q, t).collect()}
+    assert sum(r["drawn"] for r in table.values()) == 40 and all(r["shortfall"] == 0 for r in table.values())
+
+
+def test_unmet_quota_passes_and_the_rest_is_reported():
+    cells = [
+        {"question_type": "a", "split": "x", "needed": 10, "supply": 4, "target_share": 0.8}, {"question_type": "a", "split": "y", "needed": 1, "supply": 2, "target_share": 0.1},
+        {"question_type": "b", "split": "x", "needed": 1, "supply": 3, "target_share": 0.1},
+    ]
+    leaves = quota.allocated_leaves(cells, 12)
+    assert {k: (v.own, v.drawn) for k, v in leaves.items()} == {("a", "x"): (4, 4), ("a", "y"): (1, 2), ("b", "x"): (1, 3)}
+    assert quota.allocate([]) == {}
+
+
+def test_minimums_outlast_a_small_sample():
+    cells = [{"question_type": "a", "split": s, "needed": 5, "supply": 9, "target_share": 0.5, "min_rows": 4} for s in "xy"]
+    assert quota.allocate(cells, 2) == {("a", "x"): 4, ("a", "y"): 4}
+
+
+def test_found_cells_come_from_the_allocation(spark):
+    got = {(r["question_type"], r["split"]): r["shortfall"] for r in quota.unfilled_cells(questions(spark).drop("target_share"), targets(spark)).collect()}
+    report = {(r["question_type"], r["split"]): r["shortfall"] for r in quota.allocation_report(questions(spark).drop("target_share"), targets(spark)).where("shortfall > 0").collect()}
+    assert got == report
+
+
+def test_stored_state_is_read_and_never_falls(spark, tmp_path):
+    store = steady.StateStore(spark, str(tmp_path / "state"))
+    m = manifest(spark, [(1, ["a"], ["b"]), (2, [], ["a", "c"])])
+    state = {r["id"]: r["weight"] for r in steady.manifest_state(m, 0.2, store=store).collect()}
+    assert state == {"a": 5.0, "b": 1.0, "c": 1.0}
+    assert {r["id"] for r in store.read(1).collect()} == {"a", "b"}
+    again = steady.manifest_state(manifest(spark, [(1, [], []), (2, [], [])]), 0.2, store=store)
+    assert {r["id"]: r["weight"] for r in again.collect()} == {}  # no rounds recorded: nothing to advance
+    third = steady.manifest_state(manifest(spark, [(3, None, ["d", "a"])]), 0.2, store=store)
+    assert {r["id"]: r["weight"] for r in third.collect()} == {"a": 5.0, "b": 1.0, "c": 1.0, "d": 1.0}
+    q = spark.createDataFrame([("a", "test"), ("d", "test")], "id string, split string")
+    assert "a" in {r["id"] for r in steady.steady_sample(q, m, store=store).collect()}
+
+
+def test_heavier_ids_are_kept_more_often(spark):
+    rows = [(f"q{i}", k, "test") for i in range(400) for k in (("a", "b", "c") if i % 2 else ("a",))]
+    q = spark.createDataFrame(rows, "id string, question_type string, split string")
+    m = manifest(spark, [(1, [], [])])
+    weights = {r["id"]: r["weight"] for r in steady.question_weights(q).collect()}
+    assert weights["q0"] == 1.0 and weights["q1"] == 2.0
+    chosen = {r["id"] for r in steady.steady_sample(q, m, rate=0.2).collect()}
+    assert sum(int(x[1:]) % 2 for x in chosen) > sum(int(x[1:]) % 2 == 0 for x in chosen)

@@ -141,3 +141,33 @@ def test_split_table_edges(spark):
         by.setdefault(r["corpus_doc_id"], []).append(r)
     assert set(by) == {1, 4, 5, 6} and len(by[1]) == 4 and len(by[5]) == 1 and all(r["words"] <= 40 for r in out)
     assert boundaries.split_oversized(df.limit(0), 40, 4).count() == 0
+
+
+def test_blocks_of_items_and_repeated_passages(spark):
+    from routeloom.llm import leakage
+
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    docs = spark.createDataFrame([(1, "x " + passage + " y"), (2, " . ".join([passage] * 300)), (3, "nothing here"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, passage if k % 2 else f"other words {k} " + " ".join(f"w{k}{j}" for j in range(9))) for k in range(6)], "item_id long, text string")
+    one = {(r["doc_id"], r["item_id"], r["leaked_words"]) for r in leakage.leaked_passages(docs, items).collect()}
+    many = {(r["doc_id"], r["item_id"], r["leaked_words"]) for r in leakage.leaked_passages(docs, items, block_items=2).collect()}
+    assert one == many == {(d, i, 12) for d in (1, 2) for i in (1, 3, 5)}
+
+
+def test_chains_keep_the_order_of_both_sides():
+    from routeloom.llm.leakage import _chain
+
+    assert _chain([]) == (0, [])
+    assert _chain([(0, 0, 6), (50, 7, 13)])[0] == 14
+    assert _chain([(0, 7, 13), (50, 0, 6)])[0] == 7
+    assert _chain([(0, 0, 6), (50, 4, 12)])[0] == 13
+    assert _chain([(k * 10, 0, 6) for k in range(2000)])[0] == 7
+
+
+def test_priors_beyond_the_broadcast_are_joined(spark):
+    from routeloom.llm import language
+
+    docs = spark.createDataFrame([(k, "en" if k % 3 else "de", f"s{k % 4}", f"c{k % 2}") for k in range(60)], "doc_id long, code string, source string, corpus_name string")
+    priors = language.host_priors(docs)
+    few = {r["doc_id"]: r["prior"] for r in language.with_priors(docs, priors).collect()}
+    assert few == {r["doc_id"]: r["prior"] for r in language.with_priors(docs, priors, broadcast_hosts=1).collect()} and len(few) == 60

@@ -102,3 +102,36 @@ def test_tokenizer_kinds_agree_with_their_files():
     texts = ["Hello there", "", "naïve 中文"]
     assert packing.count_tokens(texts) == packing.count_tokens(texts, "byte_bpe_50k.json")
     assert all(n >= 0 for n in packing.count_tokens(texts, "piece_bpe_32k.model"))
+
+
+def test_table_scan_ranks_as_the_decoded_product():
+    x = clustered(600).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = neighbours.Quantiser(16).fit(x, np.zeros_like(x))
+    codes = q.encode(x, np.zeros_like(x))
+    tables = np.einsum("qpw,pcw->qpc", x[:20].reshape(20, q.parts, q.width), q.centres)
+    scanned = neighbours.table_scan(tables.astype(np.float32), neighbours.pack(codes))
+    decoded = q.decode(codes) @ x[:20].T
+    assert scanned.shape == (600, 20)
+    for k in range(20):
+        best = set(np.argsort(-decoded[:, k])[:10])
+        assert len(best & set(np.argsort(-scanned[:, k].astype(int), kind="stable")[:14])) >= 9
+
+
+def test_two_levels_of_cells_find_the_nearest_centres():
+    x = clustered(4000, seed=5).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = neighbours.Cells(x, 1100)
+    assert cells.upper is not None
+    found, near = cells.nearest(x[:200], 4)
+    truth_ = (x[:200].astype(np.float32) @ cells.centres.T).argmax(1)
+    assert (found[:, 0] == truth_).mean() > 0.95 and (np.diff(near, axis=1) <= 1e-6).all()
+
+
+def test_shards_are_packed_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words of text").alias("text"))
+    packed = packing.fill_containers(df, 50, shard_items=20)
+    assert packed.count() == 400
+    assert packed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
