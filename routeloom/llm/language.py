@@ -214,9 +214,11 @@ def classify(text: str, prior: list[float], model: dict[str, tuple[float, ...]])
     return LANGUAGES[best], post[best], found, segments
 
 
-def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words_kept: int = FIT_WORDS, smoothing: float = SMOOTHING) -> DataFrame:
+def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words_kept: int = FIT_WORDS, smoothing: float = SMOOTHING, with_segments: bool = True) -> DataFrame:
     """One row per document: best language, confidence, languages with full sentences, segments with offsets.
 
+    Without ``with_segments`` the segments are judged all the same but not written out.
+
     Needs doc_id and text; lang, source and corpus_name are used where present (missing columns and nulls count
     as unknown). Null, empty or letterless texts get a null language, confidence 0 and empty lists. Repeated
     documents are judged each on its own. Offsets are characters of the text, or of its mended form where the
@@ -237,6 +239,8 @@ def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words
     priors = host_priors(usable.select("code", "source", "corpus_name"), smoothing)
     flat = [math.log(1.0 / len(LANGUAGES))] * len(LANGUAGES)
 
+    width = 6 if with_segments else 5
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
@@ -248,15 +252,14 @@ def identify_languages(documents: DataFrame, fit_rows: int = FIT_ROWS, fit_words
                 code = code if isinstance(code, str) else None
                 result = classify(text, logs, model) if isinstance(text, str) and text.strip() else None
                 if result is None:
-                    rows.append((doc_id, code, None, 0.0, [], []))
+                    rows.append((doc_id, code, None, 0.0, [], [])[:width])
                     continue
                 lang, conf, found, segments = result
                 listed = [{"lang": k, "confidence": c, "sentences": n} for k, (c, n) in sorted(found.items())]
-                parts = [dict(zip(("first", "last", "lang", "confidence", "sentence"), s)) for s in segments]
-                rows.append((doc_id, code, lang, conf, listed, parts))
-            yield pd.DataFrame(rows, columns=["doc_id", "declared", "lang", "confidence", "languages", "segments"])
+                rows.append((doc_id, code, lang, conf, listed, *([segments] if with_segments else [])))
+            yield pd.DataFrame(rows, columns=["doc_id", "declared", "lang", "confidence", "languages", "segments"][:width])
 
-    return with_priors(docs, priors).select("doc_id", "text", "code", "prior").mapInPandas(run, SCHEMA)
+    return with_priors(docs, priors).select("doc_id", "text", "code", "prior").mapInPandas(run, SCHEMA if with_segments else SCHEMA[: SCHEMA.index(", segments")])
 
 
 def label_problems(identified: DataFrame) -> DataFrame:

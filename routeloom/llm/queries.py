@@ -140,7 +140,7 @@ def p9_items(spark, d):
 
 
 def p10_found(spark, d):
-    return language.label_problems(language.identify_languages(_table(spark, d, "documents"))).select("doc_id", "lang")
+    return language.label_problems(language.identify_languages(_table(spark, d, "documents"), with_segments=False)).select("doc_id", "lang")
 
 
 def p10_languages(spark, d):

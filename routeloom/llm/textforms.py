@@ -58,11 +58,25 @@ def _replacement(chunk: str) -> str:
     return chunk
 
 
+_UNSEEN = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
+_ALIKE = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]")
+#: Combining marks of Latin letters, and the ranges in which there are others.
+_ACCENTS = re.compile("[\u0300-\u034e\u0350-\u036f]+")
+_OTHER_MARKS = re.compile("[\u0483-\u0487\u0591-\u1dff\u20d0-\u20f0\u2cef-\u2cf1\u2d7f\u2de0-\u2dff\u302a-\u302f\u3099\u309a\ua66f-\uabed\ufb1e\ufe20-\ufe2f\U00010000-\U0010ffff]")
+
+
 def _fold_plain(text: str) -> str:
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE))
-    return "".join(c for c in text.translate(LOOKALIKES) if not unicodedata.combining(c)).lower()
+    if _UNSEEN.search(text):
+        text = text.translate(_INVISIBLE)
+    text = unicodedata.normalize("NFKD", text)
+    if _ALIKE.search(text):
+        text = text.translate(LOOKALIKES)
+    text = _ACCENTS.sub("", text)
+    if _OTHER_MARKS.search(text):
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    return text.lower()
 
 
 #: Without any of these an ASCII text has neither markup, entities nor words broken over lines.
