@@ -12,6 +12,7 @@ from ..operators import outcomes as O
 from ..operators import routers as R
 from . import graph
 from .tables import OUTCOMES_SQL, SILVER_SQL, outcomes, table
+from .text import _CUT
 
 RULES = ((0.6, 0.1), (0.7, 0.05))
 GRID = [(0.5, True), (2.0, False)]
@@ -193,6 +194,6 @@ CAST(contexts IS NULL AS INTEGER) + CAST(entities IS NULL AS INTEGER) + CAST(rel
     "generation_contexts": """WITH k AS (SELECT result_id, entities, list_filter(list_transform(coalesce(contexts, []), lambda x: trim(x)), lambda x: x <> '') AS k FROM backend_results WHERE method = 'lightrag')
 SELECT result_id, len(k) AS contexts, len(k) = 0 AS fallback, CASE WHEN len(k) > 0 THEN length(array_to_string(k, chr(10) || chr(10)))
   ELSE length(concat('[', array_to_string(list_transform(entities, lambda e: CASE WHEN e['entity_name'] IS NULL THEN '{}' ELSE concat('{"name":', to_json(e['entity_name']), '}') END), ','), ']')) END AS characters FROM k""",
-    "demo_preview": f"WITH {graph._TEXT.replace('WHERE item_id % 50 = 0', 'WHERE item_id = 50')} SELECT rank, node AS chunk_id, score, least(350, length(regexp_replace(array_to_string(p, ' '), '^$', ''))) AS preview FROM hits JOIN chunks ON chunk_id = node WHERE rank <= 3",
+    "demo_preview": f"WITH {graph._TEXT.replace('WHERE item_id % 50 = 0', 'WHERE item_id = 50')}, {_CUT} SELECT rank, node AS chunk_id, score, least(350, length(t)) AS preview FROM hits JOIN cut ON chunk_id = node WHERE rank <= 3",
     "shortest_per_subset": "SELECT subset, length(context) AS characters, corpus_name, corpus_doc_id FROM corpus_documents WHERE context IS NOT NULL AND subset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subset ORDER BY length(context), corpus_name, corpus_doc_id) = 1",
 }

@@ -214,6 +214,9 @@ w AS (SELECT doc_id, regexp_extract_all(text, {_W}) AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(generate_series(0, CAST(CASE WHEN len(w) <= {SIZE} THEN 0 ELSE ceil((len(w) - {SIZE}) / {SIZE - OVERLAP}.0) END AS BIGINT))) AS chunk_no FROM w WHERE len(w) > 0),
 chunks AS (SELECT doc_id, chunk_no, chunk_no * {SIZE - OVERLAP} AS start_word, list_slice(w, chunk_no * {SIZE - OVERLAP} + 1, chunk_no * {SIZE - OVERLAP} + {SIZE}) AS p,
   doc_id * {CHUNKS} + chunk_no AS chunk_id FROM c)"""
+#: The chunks' own text, by marks set before each word.
+_CUT = f"""marked AS (SELECT doc_id, list_slice(string_split(regexp_replace(text, '(' || {_W} || ')', chr(1) || '\\1', 'g'), chr(1)), 2, 1000000000) AS s FROM documents),
+cut AS (SELECT doc_id, chunk_no, chunk_id, start_word, len(p) AS n_words, regexp_replace(array_to_string(list_slice(s, start_word + 1, start_word + len(p)), ''), '[^\\p{{L}}\\p{{N}}_]+$', '') AS t FROM chunks JOIN marked USING (doc_id))"""
 _POSTINGS = f"""{_CHUNKS},
 tok AS (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(array_to_string(p, ' ')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))) AS term FROM chunks),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -230,9 +233,7 @@ sims AS (SELECT item_id, chunk_id, round(sum(qw * weight), 6) AS score FROM q JO
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM sims QUALIFY rank <= {TOP})"""
 
 ORACLE_SQL = {
-    "word_chunks": f"""WITH {_CHUNKS}, marked AS (SELECT doc_id, list_slice(string_split(regexp_replace(text, '(' || {_W} || ')', chr(1) || '\\1', 'g'), chr(1)), 2, 1000000000) AS s FROM documents),
-cut AS (SELECT doc_id, chunk_no, start_word, len(p) AS n_words, array_to_string(list_slice(s, start_word + 1, start_word + len(p)), '') AS t FROM chunks JOIN marked USING (doc_id))
-SELECT doc_id, chunk_no, start_word, n_words, md5(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_]+$', '')) AS chunk_md5 FROM cut""",
+    "word_chunks": f"WITH {_CHUNKS}, {_CUT} SELECT doc_id, chunk_no, start_word, n_words, md5(t) AS chunk_md5 FROM cut",
     "tail_windows": f"""
 WITH w AS (SELECT corpus_doc_id, len(regexp_extract_all(context, {_W})) AS n FROM corpus_documents),
 c AS (SELECT corpus_doc_id, n, unnest(generate_series(0, CAST(floor((n - 1) / 110.0) AS BIGINT))) AS k FROM w WHERE n > 0)

@@ -95,7 +95,7 @@ def _dual_hits(spark, d):
     ents = _nodes(spark, d).join(F.broadcast(queries)).select("query_id", F.col("node").alias("item"), score(F.col("node"), F.col("query_id")).alias("score"))  # three queries
     edges = graph._edges(spark, d).select(F.concat_ws("|", "src", "dst").alias("edge_id"), "src", "dst")
     rels = edges.join(F.broadcast(queries)).select("query_id", F.col("edge_id").alias("item"), score(F.col("edge_id"), F.col("query_id")).alias("score"))
-    chunks = table(spark, d, "heldout_items").join(F.broadcast(queries)).select("query_id", F.col("item_id").cast("string").alias("item"), score(F.substring("text", 1, 20), F.col("query_id")).alias("score"))
+    chunks = table(spark, d, "heldout_items").join(F.broadcast(queries)).select("query_id", F.col("item_id").cast("string").alias("item"), score(F.regexp_replace(F.substring("text", 1, 20), "[^ -~]", "?"), F.col("query_id")).alias("score"))
     return rank(ents), rank(rels), rank(chunks), edges
 
 
@@ -138,7 +138,7 @@ drawn AS (SELECT *, row_number() OVER (ORDER BY hit DESC, src, dst) - 1 AS i FRO
 _D = f"""{graph._KG}, names AS (SELECT DISTINCT node FROM ents), ed AS (SELECT concat(a, '|', b) AS edge_id, a, b FROM merged),
 eh AS (SELECT s.node AS query_id, n.node AS item, round(1.0 / (1 + levenshtein(n.node, s.node)), 6) AS score FROM seeds s, names n QUALIFY row_number() OVER (PARTITION BY s.node ORDER BY round(1.0 / (1 + levenshtein(n.node, s.node)), 6) DESC, n.node) <= 10),
 rh AS (SELECT s.node AS query_id, edge_id AS item, round(1.0 / (1 + levenshtein(edge_id, s.node)), 6) AS score FROM seeds s, ed QUALIFY row_number() OVER (PARTITION BY s.node ORDER BY round(1.0 / (1 + levenshtein(edge_id, s.node)), 6) DESC, edge_id) <= 10),
-ch AS (SELECT s.node AS query_id, CAST(item_id AS VARCHAR) AS item, round(1.0 / (1 + levenshtein(substr(text, 1, 20), s.node)), 6) AS score FROM seeds s, heldout_items QUALIFY row_number() OVER (PARTITION BY s.node ORDER BY round(1.0 / (1 + levenshtein(substr(text, 1, 20), s.node)), 6) DESC, CAST(item_id AS VARCHAR)) <= 10),
+ch AS (SELECT s.node AS query_id, CAST(item_id AS VARCHAR) AS item, round(1.0 / (1 + levenshtein(regexp_replace(substr(text, 1, 20), '[^ -~]', '?', 'g'), s.node)), 6) AS score FROM seeds s, heldout_items QUALIFY row_number() OVER (PARTITION BY s.node ORDER BY round(1.0 / (1 + levenshtein(regexp_replace(substr(text, 1, 20), '[^ -~]', '?', 'g'), s.node)), 6) DESC, CAST(item_id AS VARCHAR)) <= 10),
 ends AS (SELECT edge_id, a AS node FROM ed UNION ALL SELECT edge_id, b FROM ed),
 loc AS (SELECT query_id, 'entity' AS kind, item, score FROM eh UNION ALL SELECT query_id, 'relation', edge_id, score FROM eh JOIN ends ON node = item),
 glo AS (SELECT query_id, 'relation' AS kind, item, score FROM rh UNION ALL SELECT query_id, 'entity', node, score FROM rh JOIN ends ON edge_id = item),
