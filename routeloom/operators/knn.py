@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Queries in one broadcast block.
 QUERY_BLOCK = 8_192
 #: Vectors in one broadcast section of the graph, in one of its tasks, and in a tile of the dense product.
@@ -22,37 +24,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     query and partition, never the pairs. Ties go to the smaller key; a query never finds its own key.
     """
     spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     base = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    found = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)
-        rows = sorted((r[0], r[1]) for r in block.select(F.col(qkey).cast("long"), F.col(vector).cast("array<double>")).collect())
-        shared = spark.sparkContext.broadcast(rows)
+        rows = sorted((r[0], r[1]) for r in block.select(F.col(qkey).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull()).collect())
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qids = np.array([r[0] for r in shared.value])
-            q = np.array([r[1] for r in shared.value], dtype=np.float64)
-            kept: list[tuple] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
+            qids, q = shared.value
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             for pdf in batches:
                 if not len(pdf) or not len(qids):
                     continue
-                ids = pdf[key].to_numpy()
-                scores = np.round(q @ np.stack(pdf[vector].to_numpy()).T, 6)
-                for i in range(len(qids)):
-                    s, d = np.concatenate([kept[i][1], scores[i]]), np.concatenate([kept[i][0], ids])
-                    ok = (d != qids[i]) & (s > floor)
-                    s, d = s[ok], d[ok]
-                    order = np.lexsort((d, -s))[:k]
-                    kept[i] = (d[order], s[order])
-            out = [(qids[i], d, s) for i, (ds, ss) in enumerate(kept) for d, s in zip(ds, ss)]
-            yield pd.DataFrame(out, columns=[qkey, key, "score"])
-
-        parts.append(base.mapInPandas(scan, f"{qkey} long, {key} long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                pdf = pdf.sort_values(key, kind="stable")
+                ids, data = pdf[key].to_numpy(), np.stack(pdf[vector].to_numpy())
+                new = [best_pairs(qids[i : i + TILE_ROWS], q[i : i + TILE_ROWS], ids, data, k, floor) for i in range(0, len(qids), TILE_ROWS)]
+                at, dst, sim = (np.concatenate([best[j], *[x[j] for x in new]]) for j in range(3))
+                order = np.lexsort((dst, -sim, at))
+                at, dst, sim = at[order], dst[order], sim[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+                best = (at[keep], dst[keep], sim[keep])
+            yield pd.DataFrame({qkey: best[0], key: best[1], "score": best[2]})
+
+        part = base.mapInPandas(scan, f"{qkey} long, {key} long, score double")
+        if blocks > 1:  # one block's vectors at a time are held anywhere
+            part = cut_lineage(part)
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy(qkey).orderBy(F.desc("score"), F.asc(key))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
