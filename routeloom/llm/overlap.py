@@ -1,9 +1,10 @@
 """Same or near-same questions across splits by a weighted cosine join.
 
-1. A question becomes a set of terms: folded words without framing phrases,
-   fillers and function words, synonyms under one name, and words seen rarely
-   replaced by the frequent word they misspell (a join of deletion variants
-   over the vocabulary). Questions with equal sets form one class.
+1. A question becomes a set of terms: folded words without function words,
+   synonyms under one name, and words seen rarely replaced by the frequent word
+   they misspell (a join of deletion variants over the vocabulary). Words of
+   courtesy and framing stay at a quarter of their weight. Questions with equal
+   sets form one class.
 2. Classes are joined between splits over inverted lists. Terms weigh by
    rarity and stand in descending weight. A pair at the threshold t that shares
    its first two terms at places i and j of a class leaves the mass of the
@@ -16,7 +17,7 @@
    the maximum-weight bound is the most their cosine can be; pairs below t are
    dropped before their vectors are fetched. Exact dot products follow.
 3. An exact check compares what two classes at or above the threshold don't
-   share: a pair holds when all of it pairs up as misspellings.
+   share: a pair holds when all of it is framing or pairs up as misspellings.
 """
 
 from __future__ import annotations
@@ -43,15 +44,23 @@ SYNONYMS = {
     "outline": "summarise", "summarize": "summarise", "impaired": "reduced", "therapy": "treatment", "described": "reported",
     "surveillance": "monitoring", "needed": "required", "tumor": "tumour", "center": "centre", "leukemia": "leukaemia",
 }
-# Words that ask nothing of their own.
-IDLE = frozenset(
+# Function words, left out of all terms.
+FUNCTION = frozenset(
     "a an the of is are was were be been being do does did in on at to for by from as and or it its this that these those "
-    "i me my we you your us please kindly just so then well really actually usually basically simply exactly currently "
+    "i me my we you your us "
+    "le la les l un une des du de d el los las una unos unas der die das den dem ein eine einen einem il lo gli i o os um uma het een "
+    "und et y e en".split()
+)
+# Words of courtesy and framing. They stay in the vectors at a small weight, and don't decide.
+FRAMING = frozenset(
+    "please kindly just so then well really actually usually basically simply exactly currently "
     "q question quick thanks thank ta cheers hi hello hey hmm ok okay tell know like want would could can should explain say "
     "answer briefly short shortly sentence one justify reason reasons according text based context passage document given provided "
-    "le la les l un une des du de d el los las una unos unas der die das den dem ein eine einen einem il lo gli i o os um uma het een "
-    "und et y e en bitte danke merci gracias grazie obrigado por favor svp s vous plait".split()
+    "bitte danke merci gracias grazie obrigado por favor svp s vous plait".split()
 )
+IDLE = FUNCTION | FRAMING
+#: Weight of a framing word against what its rarity gives.
+FRAMING_WEIGHT = 0.25
 _CITATION = re.compile(r"\[\s*\d{1,4}\s*\]")
 _FRAME = re.compile(r"^\s*(?:\[\w{1,4}\]|\(\w{1,4}\)|\d{1,4}\s*[.):]|q\d*\s*[:.)]|question\s*\d*\s*[:.)]|[-*•>#]+)\s*", re.I)
 
@@ -156,7 +165,7 @@ def _named(term: str) -> str:
 
 
 def term_sets(forms: DataFrame, fixes: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """``forms`` with ``terms``: the sorted distinct terms of ``raw`` as spelled right, under common names, without idle words.
+    """``forms`` with ``terms``: the sorted distinct terms of ``raw`` as spelled right, under common names, without function words.
 
     Up to ``broadcast_terms`` misspellings are broadcast and looked up in place, without a shuffle; more are joined.
     """
@@ -168,17 +177,17 @@ def term_sets(forms: DataFrame, fixes: DataFrame, broadcast_terms: int = BROADCA
         @F.pandas_udf(T.ArrayType(T.StringType()))
         def named(raw: pd.Series) -> pd.Series:
             table = shared.value
-            return raw.map(lambda ts: sorted({n for t in ts if (n := _named(table.get(t, t))) not in IDLE}))
+            return raw.map(lambda ts: sorted({n for t in ts if (n := _named(table.get(t, t))) not in FUNCTION}))
 
         return forms.withColumn("terms", named("raw"))
     synonyms = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    idle = F.array(*[F.lit(w) for w in sorted(IDLE)])
+    function = F.array(*[F.lit(w) for w in sorted(FUNCTION)])
     tokens = (
         forms.select("form", F.explode("raw").alias("term"))
         .join(fixes, "term", "left")
         .withColumn("term", F.coalesce("fixed", "term"))
         .withColumn("term", F.coalesce(F.element_at(synonyms, F.col("term")), F.col("term")))
-        .where(~F.array_contains(idle, F.col("term")))
+        .where(~F.array_contains(function, F.col("term")))
     )
     return forms.join(tokens.groupBy("form").agg(F.sort_array(F.collect_set("term")).alias("terms")), "form")
 
@@ -199,7 +208,8 @@ def question_classes(questions: DataFrame, broadcast_terms: int = BROADCAST_TERM
     rows = cut_lineage(base.withColumn("form", F.md5(F.array_join("raw", " "))))
     forms = rows.groupBy("form").agg(F.first("raw").alias("raw"))
     vocabulary = forms.select(F.explode("raw").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    named = term_sets(rows, spelling_table(cut_lineage(vocabulary)), broadcast_terms).where(F.size("terms") > 0)
+    framing = F.array(*[F.lit(w) for w in sorted(FRAMING)])
+    named = term_sets(rows, spelling_table(cut_lineage(vocabulary)), broadcast_terms).where(F.size(F.array_except("terms", framing)) > 0)
     named = cut_lineage(named.select("id", "split", "source", "terms", F.md5(F.array_join("terms", " ")).alias("class_id")))
     members = named.groupBy("class_id", "id", "split").agg(F.min("source").alias("source"))
     train = F.col("split") == "train"
@@ -241,7 +251,7 @@ def weighted_vectors(classes: DataFrame, threshold: float, broadcast_terms: int
             for class_id, train, held, terms, counts in pdf[["class_id", "train", "eval", "terms", "counts"]].itertuples(index=False, name=None):
                 known = dict(zip(terms, counts)) if shared is None else {t: shared.value[t] for t in terms}
                 # A term of one class can't be shared: it only lengthens the vector.
-                weights = [math.log1p(total / known[t]) if known[t] > 1 else 1.0 for t in terms]
+                weights = [(FRAMING_WEIGHT if t in FRAMING else 1.0) * (math.log1p(total / known[t]) if known[t] > 1 else 1.0) for t in terms]
                 terms, w = unit_vector(list(terms), weights)
                 out.append((class_id, train, held, [(t, x, int(known[t])) for t, x in zip(terms, w)], list_keys(terms, w, threshold)))
             yield pd.DataFrame(out, columns=["class_id", "train", "eval", "v", "lists"])
@@ -278,8 +288,8 @@ def list_keys(terms: list[str], weights: list[float], threshold: float) -> list[
 
 
 def same_question(a: dict[str, int], b: dict[str, int]) -> bool:
-    """Exact check of two classes' terms with their frequencies: what they don't share must pair up as misspellings."""
-    only_a, only_b = [t for t in a if t not in b], [t for t in b if t not in a]
+    """Exact check of two classes' terms with their frequencies: what they don't share must be framing or pair up as misspellings."""
+    only_a, only_b = ([t for t in x if t not in y and t not in FRAMING] for x, y in ((a, b), (b, a)))
     if len(only_a) != len(only_b):
         return False
     for t in only_a:
