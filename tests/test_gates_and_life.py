@@ -1,5 +1,6 @@
 """Gates, index life, snapshots, model boundary and routers on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +241,37 @@ def test_sparse_search_equals_brute_force(spark):
     assert lexical.term_neighbours(vectors.limit(0), "id").count() == 0
 
 
+def test_term_neighbours_multiply_few_pairs_and_miss_none(monkeypatch):
+    monkeypatch.setattr(lexical, "TILE_FIRST", 64)
+    monkeypatch.setattr(lexical, "TILE_COLUMNS", 256)
+    monkeypatch.setattr(lexical, "ENTRIES", 500)
+    draw = np.random.default_rng(5)
+    n, terms, k = 1500, 900, 4
+    texts = []
+    for i in range(n):  # frequent words and two rare ones of a topic; some texts twice, some without a term
+        places = np.unique(np.concatenate([(draw.pareto(1.0, 12) * 8).astype(int) % 500, 500 + (i % 200) * 2 + np.arange(2)])) if i % 97 else np.empty(0, int)
+        weights = 1.0 + np.log(1.0 + places)
+        texts.append((places, weights / np.sqrt((weights**2).sum()) if len(places) else weights))
+    texts[700:720] = texts[:20]
+    dense = np.zeros((n, terms))
+    for row, (p, w) in zip(dense, texts):
+        row[p] = w
+    buckets = lexical.bucket_terms(dense.sum(0))
+    keys = np.arange(n) * 3
+    whole = lexical.Section(keys, *map(list, zip(*texts)), buckets)
+    assert (whole.norms @ whole.norms.T + 1e-5 >= dense @ dense.T).all()
+    for lo in (0, 600):
+        tile = lexical.Section(keys[lo : lo + 200], *map(list, zip(*texts[lo : lo + 200])), buckets)
+        r, c, s = whole.nearest(tile, k, 0.05, np.zeros(200))
+        got = {}
+        for a, b, x in zip(r.tolist(), c.tolist(), s.tolist()):
+            got.setdefault(a, []).append((-x, b))
+        for i in range(200):
+            sims = np.round(dense[lo + i] @ dense.T, 6)
+            assert got.get(i, []) == sorted((-float(x), j) for j, x in enumerate(sims) if x > 0.05 and j != lo + i)[:k]
+    assert whole.multiplied < 0.25 * 400 * n
+
+
 def test_views_are_capped_and_count_what_is_missing(spark):
     names = [f"n{i:02d}" for i in range(30)]
     nodes = spark.createDataFrame([(n,) for n in names], "node string")
