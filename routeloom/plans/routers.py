@@ -123,7 +123,7 @@ def demo_preview(spark, d):
     from . import text as T
 
     asked = table(spark, d, "heldout_items").where(F.col("item_id") == 50).select(F.col("item_id").alias("query_id"), "text")
-    hits = graph.retrieve(spark, d, asked, "vector")
+    hits = graph.retrieve(graph.TextParts(spark, d), asked, "vector")
     chunks = T._chunks(spark, d).select(F.col("chunk_id").alias("node"), "chunk")
     return hits.join(chunks, "node").select("rank", F.col("node").alias("chunk_id"), "score", F.length(F.substring("chunk", 1, 350)).alias("preview"))
 

@@ -8,6 +8,7 @@ from routeloom.functions import parsers as P
 from routeloom.functions import text as X
 from routeloom.functions import vectors as V
 from routeloom.operators import chunking, clients, gates, knn, lexical, lifecycle, registry, routers, views
+from routeloom.plans import graph as graph_plans
 from routeloom.sources import readers, writers
 from routeloom.sources.readers import SourceError
 from routeloom.streaming import events as E
@@ -272,6 +273,15 @@ def test_term_neighbours_multiply_few_pairs_and_miss_none(monkeypatch):
     assert whole.multiplied < 0.25 * 400 * n
 
 
+def test_routed_methods_share_one_index_and_graph(spark, data, monkeypatch):
+    calls = []
+    for name in ("build_vocabulary", "term_neighbours"):
+        monkeypatch.setattr(lexical, name, lambda *a, name=name, made=getattr(lexical, name), **kw: calls.append(name) or made(*a, **kw))
+    rows = graph_plans.routed_retrieval(spark, data).collect()
+    assert {(r["method"], r["hits"]) for r in rows} <= {("vector", 3), ("lightrag", 5), ("pathrag", 7)} and len(rows) > 0
+    assert sorted(calls) == ["build_vocabulary", "term_neighbours"]
+
+
 def test_views_are_capped_and_count_what_is_missing(spark):
     names = [f"n{i:02d}" for i in range(30)]
     nodes = spark.createDataFrame([(n,) for n in names], "node string")
