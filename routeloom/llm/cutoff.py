@@ -132,7 +132,7 @@ def longer_copies(texts: DataFrame, least: int = LEAST_PREFIX) -> DataFrame:
     return inside.unionByName(edges.groupBy(F.lit(0).alias("one")).applyInPandas(across, "hash long, bits int"))
 
 
-def truncated_texts(generations: DataFrame, fit_texts: int = C.FIT_TEXTS) -> DataFrame:
+def truncated_texts(generations: DataFrame) -> DataFrame:
     """(generation_id, source, truncated, evidence) for every row.
 
     evidence is prefix (longer copies go on inside a word or sentence, and none with a sentence mark), structure,
@@ -149,7 +149,7 @@ def truncated_texts(generations: DataFrame, fit_texts: int = C.FIT_TEXTS) -> Dat
     kept = rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
     texts = kept.select("hash", "text").withColumn("whole", C.surely_whole(F.col("text")))
     suspects = cut_lineage(texts.where(~F.coalesce("whole", F.lit(False))).groupBy("hash").agg(F.first("text").alias("text")))
-    model = C.fit_end_model(kept.select("text"), fit_texts)
+    model = C.fit_end_model(kept.select("text"))
     shared = generations.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

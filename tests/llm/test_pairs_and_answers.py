@@ -1,6 +1,7 @@
 """Question overlaps, answer defects, truncated texts."""
 
 import itertools
+from collections import Counter
 
 import pytest
 
@@ -212,3 +213,36 @@ def test_bounds_prune_no_pair_and_terms_are_joined_beyond_the_broadcast(spark):
         vectors = overlap.weighted_vectors(classes, 0.8, broadcast_terms=most)
         results.append((sorted((r["class_id"], r["train"], r["eval"], [(x["term"], round(x["w"], 9)) for x in r["v"]]) for r in vectors.collect()), {tuple(r)[:2] for r in overlap.similar_classes(vectors, 0.8).collect()}))
     assert results[0] == results[1]
+
+
+def plain_end_model(texts):
+    """The end model by plain loops over all texts."""
+    parsed = [(t.split(" "), whole) for text in texts for t, whole in C.sentence_rows(text)]
+    words = Counter(w for t, _ in parsed for w in t)
+    model = C.EndModel(common={w for w, n in words.items() if n >= max(5.0, C.RARE_SHARE * sum(words.values()))})
+    seen, ends, pairs = Counter(), Counter(), Counter()
+    for tokens, whole in parsed:
+        tokens = tokens if whole else tokens[:-1]
+        kinds = ["^", *map(model.kind, tokens)]
+        for i in range(1, len(kinds)):
+            for c in [tuple(kinds[i - k + 1 : i + 1]) for k in (1, 2, 3, 4) if i - k + 1 >= 0] + [("=", tokens[i - 1])]:
+                seen[c] += 1
+                ends[c] += whole and i == len(kinds) - 1
+            pairs[kinds[i - 1], tokens[i - 1]] += 1
+    long = {w for t, whole in parsed for w in (t if whole else t[:-1]) if len(w) >= 7 and w.isalpha()}
+    model.endings = {t for t, n in Counter(w[-3:] for w in long).items() if n >= max(4, 0.01 * len(long))}
+    model.seen = {c: n for c, n in seen.items() if n >= C.LEAST_SEEN}
+    model.ends = {c: n for c, n in ends.items() if n and c in model.seen}
+    model.pairs = {c: n for c, n in pairs.items() if n > 1}
+    for before, word in sorted(model.pairs):
+        model.after.setdefault(before, []).append(word)
+    return model
+
+
+def test_end_model_counts_all_texts(spark, data, monkeypatch):
+    monkeypatch.setattr(C, "HELD_COUNTS", 3000)
+    rows = [r["text"] for r in spark.read.parquet(f"{data}/generations.parquet").where("text is not null").select("text").collect()]
+    texts = rows + rows[:50] + [f"Case {i} was seen. The ward {i % 7}b closed early" for i in range(13_000)] + ["", "。", None]
+    model = C.fit_end_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model == plain_end_model({t for t in texts if t})
+    assert model.seen["^", "case", "#", "was"] == model.seen["case", "#", "was"] >= 13_000
