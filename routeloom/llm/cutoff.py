@@ -101,9 +101,9 @@ def longer_copies(texts: DataFrame, least: int = LEAST_PREFIX) -> DataFrame:
                 last = core
             yield pd.DataFrame(rows, columns=names)
         if first is not None:
-            rows = [(None, None, first, last, json.dumps(leaves), part)]
+            rows = [(0, 0, first, last, json.dumps(leaves), part)]  # beside a null hashes would become floats and lose digits
             rows += [(key, bits | (4 if longer else 0), core, None, None, part) for core, key, bits, longer in stack]
-            yield pd.DataFrame(rows, columns=names).astype({"hash": "Int64", "bits": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     found = cut_lineage(ordered.mapInPandas(nested, "hash long, bits int, core string, last string, leaves string, part int"))
     inside = found.where(F.col("core").isNull()).select("hash", "bits")

@@ -177,6 +177,19 @@ def test_every_continuation_of_a_prefix_counts(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_prefixes_open_at_the_end_of_a_partition_keep_their_hash(spark):
+    base = [f"{k:03d} a text of more than twenty-four characters" for k in range(40)]
+    keys = {t: 2**60 + 2 * k + 1 for k, t in enumerate(x + more for x in base for more in ("", " goes on"))}
+    df = spark.createDataFrame([*keys.items()], "core string, hash long")
+    for parts in (1, 13, 80):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["hash"]: r["bits"] for r in cutoff.longer_copies(df).collect()}
+        assert got == {keys[t]: cutoff.GOES_ON for t in base}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_a_chance_occurrence_does_not_finish_a_word(spark):
     from pyspark.sql import functions as F
 
