@@ -147,26 +147,29 @@ def truncated_texts(generations: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     ).withColumn("hash", F.xxhash64("text"))
     kept = rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
-    texts = kept.select("hash", "text").withColumn("whole", C.surely_whole(F.col("text")))
-    suspects = cut_lineage(texts.where(~F.coalesce("whole", F.lit(False))).groupBy("hash").agg(F.first("text").alias("text")))
-    model = C.fit_end_model(kept.select("text"))
-    shared = generations.sparkSession.sparkContext.broadcast(model)
+    suspect = ~F.coalesce(C.surely_whole(F.col("text")), F.lit(False))
+    texts = kept.select("text").distinct().withColumn("suspect", suspect)
+    core_hash = F.when(F.col("suspect"), F.xxhash64(C.without_notes(F.col("text")))).otherwise(F.lit(0).cast("long"))
+    # Texts are read once, for the model and for what the suspects' ends show.
+    read = C.read_texts(texts.withColumns({"hash": F.xxhash64("text"), "core_hash": core_hash}))
+    shared = generations.sparkSession.sparkContext.broadcast(C.end_model(read))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            rows = [(h, *C.stop_state(t, model)) for h, t in zip(pdf["hash"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["hash", "state", "word", "share"])
+            rows = [(h, c, *C.end_state(s, t, model)) for h, c, s, t in zip(pdf["hash"], pdf["core_hash"], pdf["state"], pdf["tail"])]
+            yield pd.DataFrame(rows, columns=["hash", "core_hash", "state", "word", "share"])
 
-    states = cut_lineage(suspects.mapInPandas(judge, "hash long, state string, word string, share double"))
+    ends = read.where(F.col("state").isNotNull()).select("hash", "core_hash", "state", "tail")
+    states = cut_lineage(ends.mapInPandas(judge, "hash long, core_hash long, state string, word string, share double"))
     stops = cut_lineage(states.where(F.col("state") == "words").groupBy("word").agg(F.count("*").alias("ends")))
     finished = stops.join(C.finished_words(kept.select("text"), stops.select("word")), "word", "left")
 
-    doubted = states.where(F.col("state").isin("words", "named")).select("hash")
-    keyed = kept.select("hash", C.without_notes(F.col("text")).alias("core")).where(F.length("core") > 0).withColumn("core_hash", F.xxhash64("core"))
-    prefixes = longer_copies(keyed.groupBy("core", F.col("core_hash").alias("hash")).agg(F.count("*").alias("copies")))
+    # Shorter cores are no prefix, and no prefix goes on in them.
+    cores = kept.select(C.without_notes(F.col("text")).alias("core")).where(F.length("core") >= LEAST_PREFIX).distinct()
+    prefixes = longer_copies(cores.withColumn("hash", F.xxhash64("core")))
     # Texts meet their core's finding by hashes; the texts themselves are shuffled once to drop copies and once to be sorted.
-    links = keyed.select("hash", "core_hash").join(doubted, "hash", "left_semi").distinct()
+    links = states.where(F.col("state").isin("words", "named")).select("hash", "core_hash")
     longer = links.join(prefixes.select(F.col("hash").alias("core_hash"), "bits"), "core_hash").groupBy("hash").agg(F.bit_or("bits").alias("bits"))
     evidence = (
         F.when(F.col("state") == "open", F.lit("structure"))

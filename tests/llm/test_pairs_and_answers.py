@@ -190,6 +190,26 @@ def test_prefixes_open_at_the_end_of_a_partition_keep_their_hash(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_ends_are_told_as_by_the_patterns():
+    import random
+    import re
+
+    cjk = C._CJK
+    token = re.compile(rf"[{cjk}]|(?:(?![{cjk}])[^\W_])+|[,;:，；：、]")
+    sentence = re.compile(r"(?<=[.!?。！？])[\"”’»)\]}*\s]*(?=\s|$)|(?<=[。！？])|\n(?=\s*(?:[-*•+]|\d{1,3}[.)])\s)")
+    rng = random.Random(5)
+    bits = [*".!?。！？؟\"”’»)]}*_ \n\t([“„<…�&\\-•✓:;,，abZ1é中", "..", "\n- ", "\n1. ", "[cut]", "(cut)", "[3]", " (see x)", "&am", "\x1c", "\u2003", "İ", "²", "\r\n", "word "]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 20)))
+        assert C.tokens_of(text) == token.findall(text.lower()), repr(text)
+        pieces = C.sentences_of(text)
+        assert pieces == [x for x in sentence.split(text) if x and x.strip()], repr(text)
+        assert C.without_neutral(text) == C.NEUTRAL.sub("", text), repr(text)
+        assert C.cut_entities(text) == C.CUT_MARK.sub("", text), repr(text)
+        assert C.stops(text) == bool(C.STOP.search(text)), repr(text)
+        assert C.stop_shape(text, pieces) == C.stop_shape(text), repr(text)
+
+
 def test_a_chance_occurrence_does_not_finish_a_word(spark):
     from pyspark.sql import functions as F
 
