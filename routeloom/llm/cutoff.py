@@ -147,12 +147,12 @@ def truncated_texts(generations: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     ).withColumn("hash", F.xxhash64("text"))
     kept = rows.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
-    suspect = ~F.coalesce(C.surely_whole(F.col("text")), F.lit(False))
-    texts = kept.select("text").distinct().withColumn("suspect", suspect)
-    core_hash = F.when(F.col("suspect"), F.xxhash64(C.without_notes(F.col("text")))).otherwise(F.lit(0).cast("long"))
-    # Texts are read once, for the model and for what the suspects' ends show.
-    read = C.read_texts(texts.withColumns({"hash": F.xxhash64("text"), "core_hash": core_hash}))
-    shared = generations.sparkSession.sparkContext.broadcast(C.end_model(read))
+    # Texts are read once: for the model, the words they finish, and what the ends of those show that aren't surely whole.
+    # A text that ends with a mark is whole or has another reason than its words, and needs no longer copy.
+    core_hash = F.when(F.right("text", F.lit(1)).isin(*".!?。！？"), F.lit(0).cast("long")).otherwise(F.xxhash64(C.without_notes(F.col("text"))))
+    read = C.read_texts(C.distinct_texts(kept).withColumns({"hash": F.xxhash64("text"), "core_hash": core_hash, "parsed": C.parses(F.col("text"))}))
+    model = C.end_model(read)
+    shared = generations.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -163,7 +163,7 @@ def truncated_texts(generations: DataFrame) -> DataFrame:
     ends = read.where(F.col("state").isNotNull()).select("hash", "core_hash", "state", "tail")
     states = cut_lineage(ends.mapInPandas(judge, "hash long, core_hash long, state string, word string, share double"))
     stops = cut_lineage(states.where(F.col("state") == "words").groupBy("word").agg(F.count("*").alias("ends")))
-    finished = stops.join(C.finished_words(kept.select("text"), stops.select("word")), "word", "left")
+    finished = stops.join(C.finished(read, stops.select("word")), "word", "left")
 
     # Shorter cores are no prefix, and no prefix goes on in them.
     cores = kept.select(C.without_notes(F.col("text")).alias("core")).where(F.length("core") >= LEAST_PREFIX).distinct()

@@ -210,6 +210,48 @@ def test_ends_are_told_as_by_the_patterns():
         assert C.stop_shape(text, pieces) == C.stop_shape(text), repr(text)
 
 
+def test_the_table_of_texts_is_read_three_times_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    texts = [*corpus(), "Adults treated for the condition tolerated the dr"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "generation_id long, text string").mapInPandas(counted, "generation_id long, text string")
+    assert [r["generation_id"] for r in cutoff.truncated_texts(df).where("truncated").collect()] == [len(texts) - 1]
+    assert read.value == 3 * len(texts)  # for distinct texts, for their beginnings, and for the result's rows
+
+
+def test_finished_words_are_those_of_the_pattern(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    bits = [*".!?。\"')]}_ \n\t([{<-:;,/aZ1é中–", "\x1c", "word", "word ", "two, ", "end. ", "\r\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3_000)] + ["one two"] * 3 + ["One two. Three", None, "", "a, b", "Two: one"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)(?=[\s,;:'\"()\[\]/–-]+[\p{L}\p{N}]|[.!?。！？])"), 1)
+    right = {r["word"]: r["n"] for r in df.select(F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    wanted = spark.createDataFrame([(w,) for w in [*right, "none"]], "word string")
+    assert {r["word"]: r["inner"] for r in C.finished_words(df, wanted).collect()} == right and right["one"] >= 4
+
+
+def test_texts_that_are_surely_whole_are_so_in_both_engines(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    bits = [*".!?。؟\"”*_ \n([<`19a中", "word", '{"a": 1}', "[", "{"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(3_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", C.parses(F.col("text")).alias("parsed"), C.surely_whole(F.col("text")).alias("whole"))
+    for r in df.collect():
+        assert (C.plainly_whole(r["text"]) if r["parsed"] is None else r["parsed"]) == bool(r["whole"]), repr(r["text"])
+
+
 def test_a_chance_occurrence_does_not_finish_a_word(spark):
     from pyspark.sql import functions as F
 
